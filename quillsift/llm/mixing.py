@@ -84,16 +84,16 @@ def draw(doc_id: Column, text: Column) -> Column:
 
 
 def mix_rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE) -> DataFrame:
-    """Operator 9 as a report. One row for each row of docs: doc_id, source, n_tokens, rate, copies.
+    """Operator 9 as a report. One row for each row of docs: doc_id, source, n_tokens, rate (to 6 digits), copies.
 
-    copies is rate rounded down, and one more with the odds of the rest, drawn from a hash of doc_id (of the text where
+    copies is the rate rounded down, and one more with the odds of the rest, drawn from a hash of doc_id (of the text where
     that is null): repeated rows get equal copies. Null and empty texts have 0 tokens and rate 1. An empty table gives
     no rows.
     """
     rate = _rate(docs, weights, temperature)
     d = docs.select("doc_id", "source", est_tokens(F.col("text")).alias("n_tokens"), draw(F.col("doc_id"), F.col("text")).alias("u"))
     d = d.select("doc_id", "source", "n_tokens", rate(F.col("source"), F.col("n_tokens")).alias("rate"), "u")
-    return d.select("doc_id", "source", "n_tokens", "rate", F.floor(F.col("rate") + F.col("u")).cast("long").alias("copies"))
+    return d.select("doc_id", "source", "n_tokens", F.round("rate", 6).alias("rate"), F.floor(F.col("rate") + F.col("u")).cast("long").alias("copies"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE) -> DataFrame:

@@ -101,12 +101,13 @@ def fit(x: DataFrame, labels: DataFrame, shrink: float, ridge: float) -> QDA | N
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.0, shrink: float = 0.3, ridge: float = 0.1) -> DataFrame:
-    """Operator 5: doc_id, score, keep for every row of docs. keep is score >= threshold. Null and empty texts are
+    """Operator 5: doc_id, score (to 4 digits), keep for every row of docs. keep is score >= threshold. Null and empty texts are
     scored as ''. If labels lack one of the classes nothing can be judged: score is null and keep true."""
     x = statistics(docs)
     model = fit(x, labels, shrink, ridge)
     score = F.lit(None).cast("double") if model is None else model.score([F.col("x")[i] for i in range(len(FEATURES))])
-    return x.select("doc_id", score.alias("score")).select("doc_id", "score", F.coalesce(F.col("score") >= threshold, F.lit(True)).alias("keep"))
+    scored = x.select("doc_id", score.alias("score"))
+    return scored.select("doc_id", F.round("score", 4).alias("score"), F.coalesce(F.col("score") >= threshold, F.lit(True)).alias("keep"))
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.0, shrink: float = 0.3, ridge: float = 0.1) -> DataFrame:
