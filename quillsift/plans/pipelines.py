@@ -14,6 +14,7 @@ from quillsift.operators.dense import mmr, nearest_in_scope, route
 from quillsift.operators.fusion import expand_neighbours, ordered_distinct, rrf, select_top_k
 from quillsift.operators.lexical import bm25
 from quillsift.operators.rerank import rerank
+from quillsift.sources.scratch import written
 
 
 @dataclass(frozen=True)
@@ -50,17 +51,20 @@ def search(queries: DataFrame, catalog: DataFrame, chunks: DataFrame, embedder:
     embedder = embedder or HashingEmbedder()
     q = _embedded(queries.select("query_id", "query_text"), "query_text", "query_vec", embedder)
     routed = route(q.select("query_id", "query_vec"), catalog, p.top_c).select("query_id", "doc_id", "route_rank")
-    scope = routed.join(q, "query_id")
+    scope = written(routed.join(q, "query_id"), "routed")
+    routed = scope.select("query_id", "doc_id", "route_rank")
     # the routed documents' chunks alone go on: the scan is cut down before anything is scored
-    near = chunks.join(routed.select("doc_id").distinct(), "doc_id", "left_semi")
+    near = written(chunks.join(routed.select("doc_id").distinct(), "doc_id", "left_semi"), "routed-chunks")
     seeds = hybrid(scope.select("query_id", "doc_id", "query_text", "query_vec"), near, p.doc_top_k, p)
     wide = expand_neighbours(seeds, near, ["query_id", "doc_id"]).join(routed, ["query_id", "doc_id"])
     cand = ordered_distinct(wide, ["query_id"], "passage", ["route_rank", "emit_order"]).select("query_id", "doc_id", "chunk_indices", "passage", "rank")
+    cand = written(cand, "passages")
     if reranker is not None:
         out = rerank(cand.join(q.select("query_id", "query_text"), "query_id"), reranker, p.top_k)
         return out.select("query_id", "rank", "passage", "score", "doc_id", "chunk_indices")
     # the second stage is the same search with a query's passages as its one document
-    items = _embedded(cand.select(F.col("query_id").alias("doc_id"), F.col("rank").alias("chunk_index"), F.col("passage").alias("chunk_text")), "chunk_text", "embedding", embedder)
+    items = cand.select(F.col("query_id").alias("doc_id"), F.col("rank").alias("chunk_index"), F.col("passage").alias("chunk_text"))
+    items = written(_embedded(items, "chunk_text", "embedding", embedder), "passage-vectors")
     second = q.select("query_id", F.col("query_id").alias("doc_id"), "query_text", "query_vec")
     best = hybrid(second, items, p.top_k, p).where(F.col("rank") <= p.top_k)
     source = cand.select("query_id", F.col("rank").alias("chunk_index"), F.col("doc_id").alias("source_id"), "chunk_indices", "passage")
