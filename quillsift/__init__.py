@@ -1 +1,8 @@
 """Document-aware retrieval analytics, expressed as Spark DataFrame plans."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# functions of this package travel to the executors by value: a cluster needs no copy of it
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
