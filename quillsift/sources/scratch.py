@@ -8,16 +8,20 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders made and tables written, by application.
+_own: dict[str, str] = {}
 _written: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (local tests), a new temporary one."""
+    """The folder in the session's spark.checkpoint.dir; where that is unset (local tests), a new temporary one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="quillsift-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if path:
+        return path
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = "file://" + tempfile.mkdtemp(prefix="quillsift-")
+    return _own[app]
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -38,9 +42,8 @@ def release(spark: SparkSession) -> None:
     """Deletes what written() left for this application."""
     try:
         paths = _written.pop(spark.sparkContext.applicationId, [])
-        jvm = spark._jvm
         for path in paths:
-            p = jvm.org.apache.hadoop.fs.Path(path)
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
     except Exception:  # the session has ended; the folder's owner cleans up
         return
