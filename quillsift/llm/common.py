@@ -2,54 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key table of at most this many bytes is sent to every executor; a larger one is joined by shuffle.
-BROADCAST_BYTES = 32 << 20
+from quillsift.sources.scratch import release, shared_dir, written
 
-_written: dict[str, list[str]] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (local tests), a new temporary one."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="quillsift-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df, computed once into Parquet in the shared folder and read again: later steps start from files that
-    outlive any executor. The files stay until release() or the end of the driver process."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    app = spark.sparkContext.applicationId
-    if app not in _written:
-        _written[app] = []
-        atexit.register(release, spark)
-    _written[app].append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Deletes what written() left for this application."""
-    try:
-        paths = _written.pop(spark.sparkContext.applicationId, [])
-        jvm = spark._jvm
-        for path in paths:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session has ended; the folder's owner cleans up
-        return
+__all__ = ["est_tokens", "free", "maybe_broadcast", "release", "shared_dir", "tables", "text_key", "without_rows", "written"]
 
+#: A key table of at most this many bytes is sent to every executor; a larger one is joined by shuffle.
+BROADCAST_BYTES = 32 << 20
 
 def free(df: DataFrame, *bases: str) -> list[str]:
     """Names for working columns that no column of df has, whatever the case."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -56,6 +57,11 @@ KINDS = (
     Kind("ip", re.compile(r"(?<![\w.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\w]|\.\w)"), 0.6, _W("ip address host server adresse".split()), _W("version release section chapter v".split()), "0123456789"),
 )
 WORD = re.compile(r"\w+")
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {c[:2]: int(c[2:]) for c in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IS26 IT27 JO30 "
+    "KW30 KZ20 LB28 LI21 LT20 LU20 LV21 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SE24 SI19 SK24 SM27 TN24 TR26 UA29 VA22 VG24 XK20"
+).split()}
 
 
 def _checked(kind: str, span: str) -> tuple[bool, float]:
@@ -71,13 +77,17 @@ def _checked(kind: str, span: str) -> tuple[bool, float]:
     return False, 0.0
 
 
-def _iban_cut(text: str, start: int, end: int) -> int:
-    """The end of the longest prefix with a valid checksum: words in capitals may follow an IBAN."""
-    while end - start >= 15:
-        if text[end - 1] != " " and mod97(text[start:end].replace(" ", "")):
-            return end
-        end -= 1
-    return end
+def _iban_end(text: str, start: int, end: int) -> int:
+    """Where an IBAN of its country's length ends within the span (words in capitals may follow it); start if the
+    country is unknown, or the span too short or cut within a word."""
+    left = IBAN_LENGTHS.get(text[start : start + 2], 0)
+    if not left:
+        return start
+    for at in range(start, end):
+        left -= text[at] != " "
+        if not left:
+            return at + 1 if at + 1 == len(text) or not text[at + 1].isalnum() else start
+    return start
 
 
 def find(text: str | None, threshold: float = THRESHOLD) -> list[tuple[str, int, int, float, bool]]:
@@ -92,7 +102,7 @@ def find(text: str | None, threshold: float = THRESHOLD) -> list[tuple[str, int,
         for m in k.pattern.finditer(text):
             start, end = m.span(1) if k.name == "secret" else m.span()
             if k.name == "iban":
-                end = _iban_cut(text, start, end)
+                end = _iban_end(text, start, end)
             checked, score = _checked(k.name, text[start:end]) if end > start else (False, -1.0)
             around = text[max(0, m.start() - WINDOW) : m.start()] + " " + text[end : end + WINDOW]
             words = set(WORD.findall(around.lower()))
@@ -100,11 +110,12 @@ def find(text: str | None, threshold: float = THRESHOLD) -> list[tuple[str, int,
             if score >= threshold:
                 found.append((k.name, start, end, round(score, 4), checked))
     found.sort(key=lambda f: (-f[3], f[1], -f[2]))
-    kept: list[tuple[str, int, int, float, bool]] = []
+    kept: list[tuple[str, int, int, float, bool]] = []  # by start; they don't overlap, so two neighbours decide
     for f in found:
-        if all(f[2] <= g[1] or g[2] <= f[1] for g in kept):
-            kept.append(f)
-    return sorted(kept, key=lambda f: f[1])
+        i = bisect.bisect_left(kept, f[1], key=lambda g: g[1])
+        if (i == 0 or kept[i - 1][2] <= f[1]) and (i == len(kept) or f[2] <= kept[i][1]):
+            kept.insert(i, f)
+    return kept
 
 
 def redact(text: str | None, threshold: float = THRESHOLD) -> str | None:

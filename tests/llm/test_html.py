@@ -1,0 +1,87 @@
+from __future__ import annotations
+
+import itertools
+
+import numpy as np
+import pytest
+
+from quillsift.llm.html import EDGES, N_FEATURES, Weights, content, extract_content, forest, labels, parse, sum_product, train
+
+
+@pytest.mark.parametrize("page", ["<div><p>a <b>c</b></p><ul><li>x<li>y</ul></div>", "text", "", "<a><b><i>deep</i></b></a><p>z", "<table><tr><td>1<td>2<tr><td>3</table>"])
+@pytest.mark.parametrize("seed", [0, 1])
+def test_marginals_against_enumeration(page, seed):
+    rng = np.random.default_rng(seed)
+    f = forest([parse(page), parse("<p>other</p>")])
+    w = Weights(rng.normal(size=N_FEATURES), rng.normal(size=(EDGES, 2, 2)))
+    n = len(f.parent)
+    theta, total, one, pair = f.x @ w.unary, 0.0, np.zeros(n), np.zeros((n, 2, 2))
+    for s in itertools.product((0, 1), repeat=n):
+        e = np.exp(sum(theta[i] * s[i] for i in range(n)) + sum(w.pair[f.edge[i], s[f.parent[i]], s[i]] for i in range(n) if f.parent[i] >= 0))
+        total += e
+        one += e * np.array(s)
+        for i in range(n):
+            if f.parent[i] >= 0:
+                pair[i, s[f.parent[i]], s[i]] += e
+    m, pairs, log_z = sum_product(f, w)
+    assert np.allclose(m, one / total) and np.allclose(pairs, pair / total) and np.isclose(log_z, np.log(total))
+
+
+def test_gradient_is_that_of_the_likelihood():
+    f = forest([parse("<div><p>a <b>c</b></p><p>d</p></div>")])
+    y = np.array([0, 1, 1, 0, 1, 1, 0, 1][: len(f.parent)])
+    rng = np.random.default_rng(0)
+    w = Weights(rng.normal(size=N_FEATURES), rng.normal(size=(EDGES, 2, 2)))
+
+    def loglik(u):
+        _, _, z = sum_product(f, Weights(u, w.pair))
+        return (f.x @ u)[y == 1].sum() - z
+
+    p, _, _ = sum_product(f, w)
+    g = f.x.T @ (y - p)
+    for k in range(0, N_FEATURES, 7):
+        h = np.zeros(N_FEATURES)
+        h[k] = 1e-5
+        assert g[k] == pytest.approx((loglik(w.unary + h) - loglik(w.unary - h)) / 2e-5, abs=1e-5)
+
+
+def test_parsing():
+    t = parse("<!DOCTYPE html><html><head><title>T &amp; t</title><script>var a='<p>no</p>';</script></head><body><p>one<p>two <b>bold</i> on<br>x<ul><li>a<li>b</ul></body>")
+    assert [x for x in t.text if x] == ["T & t", "one", "two", "bold", "on", "x", "a", "b"]
+    depth = {}
+    for i, p in enumerate(t.parent):
+        depth[i] = 0 if p < 0 else depth[p] + 1
+    ps = [i for i, g in enumerate(t.tag) if g == "p"]
+    assert depth[ps[0]] == depth[ps[1]] and len({t.parent[i] for i, g in enumerate(t.tag) if g == "li"}) == 1
+    for odd in ("<", "<>", "</p>", "<p", "<!--", "<a href=\"x", "<script>", "a<b<c", "<<p>>", "&bogus; &#0; &#x110000;", "\0"):
+        parse(odd)
+
+
+def test_held_out_pages(spark):
+    rows = [r[0] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id").select("html").collect()]
+    w = train(rows[:120])
+    right = n = 0
+    for page in rows[120:]:
+        t = parse(page)
+        m, _, _ = sum_product(forest([t]), w)
+        y = labels(t)
+        at = [i for i, x in enumerate(t.text) if x]
+        right += sum((m[i] >= 0.5) == bool(y[i]) for i in at)
+        n += len(at)
+    assert right >= 0.98 * n
+    # the same page without its article element: the tag itself is not what the model goes by
+    bare = [p.replace("<article>", "<div>").replace("</article>", "</div>") for p in rows[120:]]
+    a, b = list(content(rows[120:], w, 0.5)), list(content(bare, w, 0.5))
+    assert sum(x[0] == y[0] for x, y in zip(a, b)) >= 0.9 * len(a)
+
+
+def test_odd_pages(spark):
+    deep = "<div>" * 3000 + "deep" + "</div>" * 3000
+    good = "<html><body><nav><a href='x'>Home</a></nav><article><p>" + "A sentence of some length, with commas. " * 20 + "</p></article><footer>(c)</footer></body></html>"
+    rows = [(1, None, "c"), (2, "", "c"), (None, "<p>x", "c"), (3, deep, "c"), (4, good, "c"), (4, good, "c"), (5, "word " * 200_000, "c")]
+    df = spark.createDataFrame(rows, "page_id long, html string, content string")
+    out = extract_content(df).collect()
+    assert len(out) == 7 and {r.content for r in out if r.page_id in (1, 2)} == {""}
+    assert [r.content.startswith("A sentence") for r in out if r.page_id == 4] == [True, True]
+    assert all(r.content == "" for r in extract_content(df.where("page_id <> 4")).collect())
+    assert extract_content(df.limit(0)).count() == 0

@@ -1,0 +1,65 @@
+from __future__ import annotations
+
+import pytest
+
+import __spark_entry__
+import corpus_pipeline
+from quillsift.llm.common import shared_dir, written
+from quillsift.llm.packing import pack_shard
+from quillsift.llm.pii import redact
+from quillsift.llm.registry import QUERIES
+from quillsift.llm.sql import ORACLES
+from tests.oracle import assert_same
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_sql_gives_the_same(spark, name):
+    assert_same(spark, QUERIES[name], ORACLES[name], SF)
+
+
+def test_all_are_registered():
+    found = __spark_entry__.queries()
+    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in found if q.startswith("op") and q[2].isdigit()}
+    assert found["pipeline"] is corpus_pipeline.run
+
+
+def test_pipeline_against_its_parts(spark):
+    """Each stage over what the one before it kept, checked by means that share no Spark code with it."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept, columns = docs, docs.columns
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        before = kept.toPandas()
+        kept = written(stage(spark, kept, SF), "test-stage")
+        assert kept.columns == columns
+        after = kept.toPandas()
+        if i == 0:
+            keep = {r.doc_id for r in QUERIES["op5_quality_qda"](spark, SF).collect() if r.keep}
+            assert set(after.doc_id) == keep & set(before.doc_id)
+        elif i == 1:
+            assert set(after.doc_id) <= set(before.doc_id) and after.text.is_unique
+            assert set(before.text.str.lower().str.split().map(frozenset)) >= set(after.text.str.lower().str.split().map(frozenset))
+        elif i == 2:
+            assert sorted(after.text) == sorted(redact(t) for t in before.text)
+            assert (after.n_chars == after.text.str.len()).all()
+        else:
+            assert set(after.doc_id) == set(before.doc_id)
+    rows = kept.toPandas()
+    want = {}
+    for t in rows.text:
+        want[-(-len(t) // 4)] = want.get(-(-len(t) // 4), 0) + 1
+    packed = corpus_pipeline.run(spark, SF).toPandas()
+    sums = packed.assign(first=packed.piece == 0).groupby("doc_id").agg(tokens=("n_tokens", "sum"), copies=("first", "sum"))
+    direct = rows.assign(tokens=-(-rows.text.str.len() // 4)).groupby("doc_id").agg(tokens=("tokens", "sum"), copies=("text", "size"))
+    assert sums[sums.tokens > 0].to_dict() == direct[direct.tokens > 0].to_dict()
+    one = pack_shard(rows.assign(src="=" + rows.source, cluster=rows.text, n_tokens=-(-rows.text.str.len() // 4), doc_id=rows.doc_id.astype(str)), 4096)
+    assert len(one) == len(packed) and one.bin.nunique() == packed.groupby(["shard", "bin"]).ngroups
+
+
+def test_shared_folder_is_the_sessions():
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default=None: {"spark.checkpoint.dir": "hdfs://c/shared"}.get(key, default))
+
+    assert shared_dir(Session) == "hdfs://c/shared"
