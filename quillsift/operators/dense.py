@@ -37,7 +37,7 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, metric: str = "dot", ite
     rows = queries.select("query_id", "query_vec").collect()
     qid = [r[0] for r in rows]
     qkind = queries.schema["query_id"].dataType.simpleString()
-    q = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
+    q = np.array([r[1] for r in rows], np.float64).reshape(len(rows), dim or 0)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best_s, best_i = np.empty((len(qid), 0)), np.empty((len(qid), 0), object)

@@ -65,7 +65,8 @@ def chunks(df: DataFrame, text: str, size: int, overlap: int = 0, index: str = "
                         at.append(row)
                         no.append(i)
                         found.append(p)
-            yield b[keep].iloc[at].assign(**{index: no, chunk: found})
+            if at:
+                yield b[keep].iloc[at].assign(**{index: no, chunk: found})
 
     return df.select(*keep, text).mapInPandas(run, f"{schema}, {index} int, {chunk} string")
 
