@@ -91,5 +91,5 @@ def test_chunk_tables(spark):
     assert got == [(1, "k", 0, "aaa bbb"), (1, "k", 1, "ccc"), (4, None, 0, "x" * 30)]
     s = sections(d, 7)
     c = section_chunks(s, 4, 0).collect()
-    assert [(r.doc_id, r.section_index, r.chunk_index, r.chunk_text) for r in c][:3] == [(1, 0, 0, "aaa"), (1, 0, 1, "bbb"), (1, 1, 0, "ccc")]
-    assert {(r.parent_text, r.child_text) for r in parents_children(d.where("doc_id = 1"), 7, 4).collect()} >= {("aaa bbb", "aaa"), ("aaa bbb", "bbb")}
+    assert [(r.doc_id, r.section_index, r.chunk_index, r.chunk_text) for r in c][:3] == [(1, 0, 0, "aaa"), (1, 0, 1, " bbb"), (1, 1, 0, "ccc")]
+    assert {(r.parent_text, r.child_text) for r in parents_children(d.where("doc_id = 1"), 7, 4).collect()} >= {("aaa bbb", "aaa"), ("aaa bbb", " bbb")}
