@@ -262,15 +262,30 @@ def content(pages: list[str | None], w: Weights, threshold: float) -> Iterator[t
         yield "\n".join(lines), n, kept, total / n if n else 0.0
 
 
+def training_pages(pages: DataFrame, n: int) -> list[str]:
+    """The n labelled pages that come first by a hash of the page; all if there are fewer.
+
+    Ordering alone would send n whole pages from every task to the driver. As hashes are even, the first ones lie
+    below a bound that follows from the number of pages; only pages below it are looked at. Should too few of them be
+    labelled, the bound is raised.
+    """
+    total, order = pages.count(), F.xxhash64("html", "page_id")
+    share = 8 * n / max(total, 1)
+    while True:
+        below = pages if share >= 1 else pages.where(order < F.lit(int(-(1 << 63) + share * (1 << 64))))
+        found = below.where(F.col("html").rlike("(?i)<(article|main)[\\s>]")).select("html").orderBy(order, "html").limit(n).collect()
+        if len(found) == n or share >= 1:
+            return [r[0] for r in found]
+        share *= 16
+
+
 def extract_content(pages: DataFrame, train_pages: int = 400, threshold: float = 0.5) -> DataFrame:
     """Operator 4. One row for each row of pages (page_id, html): page_id, content, n_texts, n_kept, mean_marginal.
 
     The model is fitted on at most train_pages labelled pages (those with an article or main element), the least by a
     hash of the page. Null and empty pages have content '' and no texts; so have all pages if none is labelled.
     """
-    labelled = pages.where(F.col("html").rlike("(?i)<(article|main)[\\s>]"))
-    sample = [r[0] for r in labelled.select("html").orderBy(F.xxhash64("html", "page_id"), "html").limit(train_pages).collect()]
-    w = train(sample)
+    w = train(training_pages(pages, train_pages))
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,8 +4,9 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from quillsift.llm.html import EDGES, N_FEATURES, Weights, content, extract_content, forest, labels, parse, sum_product, train
+from quillsift.llm.html import EDGES, N_FEATURES, Weights, content, extract_content, forest, labels, parse, sum_product, train, training_pages
 
 
 @pytest.mark.parametrize("page", ["<div><p>a <b>c</b></p><ul><li>x<li>y</ul></div>", "text", "", "<a><b><i>deep</i></b></a><p>z", "<table><tr><td>1<td>2<tr><td>3</table>"])
@@ -85,3 +86,10 @@ def test_odd_pages(spark):
     assert [r.content.startswith("A sentence") for r in out if r.page_id == 4] == [True, True]
     assert all(r.content == "" for r in extract_content(df.where("page_id <> 4")).collect())
     assert extract_content(df.limit(0)).count() == 0
+
+
+def test_training_pages_are_the_first_by_hash(spark):
+    rows = [(i, f"<{'main' if i % 40 == 0 else 'div'}>{i}") for i in range(4000)]
+    df = spark.createDataFrame(rows, "page_id long, html string").repartition(5)
+    want = [r.html for r in df.where("html like '<main%'").orderBy(F.xxhash64("html", "page_id")).collect()]
+    assert training_pages(df, 10) == want[:10] and training_pages(df, 60) == want[:60] and training_pages(df, 1000) == want
