@@ -533,13 +533,13 @@ def _reports(spark: SparkSession, d: str) -> DataFrame:
             F.struct(F.lit(0.25).alias("average_retrieval_time_seconds"), (F.col("n") * by / F.lit(4.0)).alias("average_answer_time_seconds")).alias("runtime"), F.struct((F.col("n") * by).cast("double").alias("average_total_tokens")).alias("cost"),
         )
 
-    records = F.array(record("grag_report", 1), record("hybrid_rag_report", 2), record("unknown", 9), record("flat_hybrid_rag_report", 3))
+    records = F.array(record("xrag_report", 1), record("hybrid_rag_report", 2), record("unknown", 9), record("flat_hybrid_rag_report", 3))
     llm = o.select("o_orderstatus", "o_orderpriority", F.struct(records.alias("benchmark")).alias("r")).groupBy("o_orderstatus").agg(F.map_from_entries(F.collect_list(F.struct("o_orderpriority", "r"))).alias("m"))
     return llm.groupBy().agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("o_orderstatus", "m")))).alias("value"))
 
 
 FLAT = """flat as (select o_orderstatus as embedding, o_orderpriority as llm, method, no as method_no, s / n / 1000000 as f1, 0.5 as faithfulness, n * mult as total_tokens, 0.25 + n * mult / 4.0 as total_time_seconds
-from (select o_orderstatus, o_orderpriority, count(*)::double as n, round(sum(o_totalprice), 2) as s from orders group by all), (values ('grag', 0, 1), ('flat_hybrid_rag', 2, 3)) m(method, no, mult))"""
+from (select o_orderstatus, o_orderpriority, count(*)::double as n, round(sum(o_totalprice), 2) as s from orders group by all), (values ('routed_rag', 0, 1), ('flat_hybrid_rag', 2, 3)) m(method, no, mult))"""
 
 
 @query(f"with {FLAT} select embedding, llm, method, method_no, round(f1, 6) as f1, faithfulness::double as faithfulness, total_tokens, total_time_seconds from flat")

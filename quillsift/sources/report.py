@@ -7,21 +7,22 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Report names by method, in the order in which methods are listed.
+#: Methods in the order in which they are listed, each with a pattern of its report names. The routed search reports
+#: under a prefix of one letter.
 METHODS = {
-    "grag": ("grag_report",),
-    "naive_rag": ("rag_report",),
-    "flat_hybrid_rag": ("hybrid_rag_report", "flat_hybrid_rag_report"),
-    "hierarchical_rag": ("hierarchical_rag_report",),
-    "parent_child_rag": ("parent_child_rag_report",),
-    "query_rewrite_rag": ("query_rewrite_rag_report",),
+    "routed_rag": "[a-z]rag_report",
+    "naive_rag": "rag_report",
+    "flat_hybrid_rag": "(flat_)?hybrid_rag_report",
+    "hierarchical_rag": "hierarchical_rag_report",
+    "parent_child_rag": "parent_child_rag_report",
+    "query_rewrite_rag": "query_rewrite_rag_report",
 }
 RECORD = "struct<report_name:string,ragas:map<string,double>,runtime:struct<average_retrieval_time_seconds:double,average_answer_time_seconds:double>,cost:struct<average_total_tokens:double>>"
 
 
 def method_of(report_name: Column) -> Column:
-    pairs = [x for m, names in METHODS.items() for n in names for x in (F.lit(n), F.lit(m))]
-    return F.create_map(*pairs)[report_name]
+    """The method of a report name; null for a name of none."""
+    return F.coalesce(*(F.when(report_name.rlike(f"^{p}$"), F.lit(m)) for m, p in METHODS.items()))
 
 
 def flatten_report(reports: DataFrame) -> DataFrame:

@@ -64,11 +64,11 @@ def test_report(spark, tmp_path):
     def rec(name, f1):
         return {"report_name": name, "ragas": {"F1": f1, "Faithfulness": 0.5}, "runtime": {"average_retrieval_time_seconds": 1, "average_answer_time_seconds": 2}, "cost": {"average_total_tokens": 7}}
 
-    body = {"e": {"m": {"benchmark": [rec("grag_report", 0.1), rec("hybrid_rag_report", 0.2), rec("flat_hybrid_rag_report", 0.3), rec("odd", 1)]}, "n": {"benchmark": []}, "o": 3}, "x": 4}
+    body = {"e": {"m": {"benchmark": [rec("xrag_report", 0.1), rec("hybrid_rag_report", 0.2), rec("flat_hybrid_rag_report", 0.3), rec("odd", 1)]}, "n": {"benchmark": []}, "o": 3}, "x": 4}
     path = tmp_path / "r.json"
     path.write_text(json.dumps(body))
     got = report.read_report(spark, str(path)).orderBy("method_no").collect()
-    assert [(r.embedding, r.llm, r.method, r.f1, r.total_time_seconds, r.total_tokens) for r in got] == [("e", "m", "grag", 0.1, 3.0, 7.0), ("e", "m", "flat_hybrid_rag", 0.3, 3.0, 7.0)]
+    assert [(r.embedding, r.llm, r.method, r.f1, r.total_time_seconds, r.total_tokens) for r in got] == [("e", "m", "routed_rag", 0.1, 3.0, 7.0), ("e", "m", "flat_hybrid_rag", 0.3, 3.0, 7.0)]
     path.write_text("{}")
     with pytest.raises(ValueError, match="no benchmark records"):
         report.read_report(spark, str(path))
