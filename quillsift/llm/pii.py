@@ -51,12 +51,20 @@ KINDS = (
     Kind("email", re.compile(r"(?<![\w.+%-])\w[\w.+%-]{0,63}@(?:[^\W_](?:[\w-]{0,62}[^\W_])?\.){1,8}[^\W\d_]{2,24}(?![\w@-])"), 0.9, _W("email mail contact kontakt correo courriel".split()), _W(), "@"),
     Kind("secret", re.compile(r"(?i)(?<![a-z0-9])(?:api[_-]?key|access[_-]?key|secret|token|passw(?:or)?d|pwd)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([a-z0-9+/_.~-]{12,200}={0,2})[\"']?"), 0.85, _W("key auth bearer credentials".split()), _W("example placeholder".split()), "=:"),
     Kind("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])"), 0.2, _W("iban bank account konto compte cuenta".split()), _W(), "0123456789"),
-    Kind("card", re.compile(r"(?<![\d.,+-])\d(?:[ -]?\d){12,18}(?!\d|[.,-]\d)"), 0.2, _W("card visa mastercard amex credit karte carte tarjeta".split()), _W("order isbn tracking invoice serial".split()), "0123456789"),
+    Kind("card", re.compile(r"\d+(?:[ -]\d+)*"), 0.2, _W("card visa mastercard amex credit karte carte tarjeta".split()), _W("order isbn tracking invoice serial".split()), "0123456789"),
     Kind("phone", re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-]|\.\d)"), 0.6, _W("phone tel telephone mobile call fax telefon teléfono téléphone".split()), _W("order isbn invoice version".split()), "0123456789"),
     Kind("ssn", re.compile(r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])"), 0.55, _W("ssn social security".split()), _W("order part invoice".split()), "0123456789"),
     Kind("ip", re.compile(r"(?<![\w.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\w]|\.\w)"), 0.6, _W("ip address host server adresse".split()), _W("version release section chapter v".split()), "0123456789"),
 )
 WORD = re.compile(r"\w+")
+GROUP = re.compile(r"\d+")
+#: Card numbers of the known issuers, and the groups that they are printed in besides a single one. Any number that
+#: passes Luhn counts; of overlapping ones those of both come first, then those of a known issuer.
+ISSUED = re.compile(
+    r"4(?:\d{12}|\d{15}|\d{18})|(?:5[1-5]\d\d|222[1-9]|22[3-9]\d|2[3-6]\d\d|27[01]\d|2720)\d{12}|3[47]\d{13}|3(?:0[0-5]|[689]\d)\d{11,16}"
+    r"|(?:6011|64[4-9]\d|65\d\d|62\d\d|35(?:2[89]|[3-8]\d))\d{12,15}|(?:5018|5020|5038|5893|6304|6759|676[1-3])\d{9,15}"
+)
+PRINTED = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4)}
 #: Characters of an IBAN by country.
 IBAN_LENGTHS = {c[:2]: int(c[2:]) for c in (
     "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IS26 IT27 JO30 "
@@ -66,9 +74,8 @@ IBAN_LENGTHS = {c[:2]: int(c[2:]) for c in (
 
 def _checked(kind: str, span: str) -> tuple[bool, float]:
     """(passed a checksum, score to add); a failed checksum takes all."""
-    if kind == "card":
-        ok = luhn(re.sub(r"\D", "", span)) and len(set(span)) > 1
-        return ok, 0.6 if ok else -1.0
+    if kind == "card":  # _cards proposes none that fails
+        return True, 0.6
     if kind == "iban":
         ok = mod97(span.replace(" ", ""))
         return ok, 0.75 if ok else -1.0
@@ -90,6 +97,61 @@ def _iban_end(text: str, start: int, end: int) -> int:
     return start
 
 
+def _cards(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """(start, end) of the card numbers in a run of digit groups, by start: 13 to 19 digits from the start of a group to
+    the end of one that pass Luhn and are not one digit repeated. A run may hold other numbers beside a card (expiry
+    date, CVV, year, another card). Of overlapping ones the better known stays (ISSUED, PRINTED),
+    then the earlier, then the longer."""
+    if end - start < 13:
+        return []
+    groups = [m.span() for m in GROUP.finditer(text, start, end)]
+    digits = "".join(text[a:b] for a, b in groups)
+    if len(digits) < 13:
+        return []
+    # sums[p][i]: of the first i digits with those at positions of parity p doubled, so a number is a difference of two
+    sums: tuple[list[int], list[int]] = [0], [0]
+    for i, c in enumerate(digits):
+        d = ord(c) - 48
+        twice = d * 2 - 9 * (d > 4)
+        sums[i % 2].append(sums[i % 2][-1] + twice)
+        sums[1 - i % 2].append(sums[1 - i % 2][-1] + d)
+    first, last = 0, len(groups)
+    if start and text[start - 1] in ".,+-":
+        first = 1
+    if text[end : end + 1] in (".", ",") and text[end + 1 : end + 2].isdigit():
+        last -= 1
+    at = [0]
+    for a, b in groups:
+        at.append(at[-1] + b - a)
+    proposed = []
+    for g in range(first, last):
+        i = at[g]
+        for h in range(g + 1, last + 1):
+            j = at[h]
+            if j - i > 19:
+                break
+            if j - i > 12 and (sums[j % 2][j] - sums[j % 2][i]) % 10 == 0 and len(set(digits[i:j])) > 1:
+                issued = bool(ISSUED.fullmatch(digits, i, j))
+                printed = h == g + 1 or tuple(b - a for a, b in groups[g:h]) in PRINTED
+                proposed.append((-issued - (issued and printed), groups[g][0], -groups[h - 1][1]))
+    kept: list[tuple[int, int]] = []
+    for _, a, b in sorted(proposed):
+        i = bisect.bisect_left(kept, (a, -b))
+        if (i == 0 or kept[i - 1][1] <= a) and (i == len(kept) or -b <= kept[i][0]):
+            kept.insert(i, (a, -b))
+    return kept
+
+
+def _proposed(kind: str, text: str, m: re.Match) -> list[tuple[int, int, int]]:
+    """(where the context before it ends, start, end) of the spans of a match."""
+    start, end = m.span(1) if kind == "secret" else m.span()
+    if kind == "card":
+        return [(a, a, b) for a, b in _cards(text, start, end)]
+    if kind == "iban":
+        end = _iban_end(text, start, end)
+    return [(m.start(), start, end)]
+
+
 def find(text: str | None, threshold: float = THRESHOLD) -> list[tuple[str, int, int, float, bool]]:
     """(kind, start, end, score, checksum passed) of the spans in a text, by start. Where spans overlap the one of the
     higher score stays, then the earlier, then the longer. Null has none."""
@@ -99,12 +161,9 @@ def find(text: str | None, threshold: float = THRESHOLD) -> list[tuple[str, int,
     for k in KINDS:
         if not any(c in text for c in k.needs):
             continue
-        for m in k.pattern.finditer(text):
-            start, end = m.span(1) if k.name == "secret" else m.span()
-            if k.name == "iban":
-                end = _iban_end(text, start, end)
+        for before, start, end in (p for m in k.pattern.finditer(text) for p in _proposed(k.name, text, m)):
             checked, score = _checked(k.name, text[start:end]) if end > start else (False, -1.0)
-            around = text[max(0, m.start() - WINDOW) : m.start()] + " " + text[end : end + WINDOW]
+            around = text[max(0, before - WINDOW) : before] + " " + text[end : end + WINDOW]
             words = set(WORD.findall(around.lower()))
             score = min(1.0, k.base + score + RAISE * bool(words & k.near) - LOWER * bool(words & k.against))
             if score >= threshold:

@@ -39,6 +39,36 @@ def test_kinds(text, want):
     assert kinds(text) == want
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("card 4111 1111 1111 1111 12/27", ["4111 1111 1111 1111"]),
+        ("4111111111111111 123", ["4111111111111111"]),
+        ("visa 2024 4111 1111 1111 1111", ["4111 1111 1111 1111"]),
+        ("4111-1111-1111-1111-123 then 12 5500 0000 0000 0004 99", ["4111-1111-1111-1111", "5500 0000 0000 0004"]),
+        ("3782 822463 10005 4111 1111 1111 1111", ["3782 822463 10005", "4111 1111 1111 1111"]),
+        ("7 4111111111111111 3.5", ["4111111111111111"]),
+        ("1.4111111111111111 4111111111111111.5 +4111111111111111", []),
+        ("0000 0000 0000 0000 0000", []),
+    ],
+)
+def test_cards_beside_other_numbers(text, want):
+    assert kinds(text) == [("card", w) for w in want]
+    assert redact(text).count("<CARD>") == len(want)
+
+
+def test_cards_are_found_whatever_stands_beside_them():
+    """A known issuer's card wins against numbers that pass Luhn by chance with its neighbours."""
+    r = random.Random(5)
+    for _ in range(500):
+        s = "4" + "".join(r.choice(string.digits) for _ in range(14))
+        s = next(s + d for d in string.digits if luhn(s + d))
+        card = " ".join(s[i : i + 4] for i in range(0, 16, 4))
+        left, right = (" ".join(str(r.randint(100, 300)) for _ in range(r.randint(0, 2))) for _ in range(2))
+        text = f"{left} {card} {right}".strip()
+        assert card in [v for _, v in kinds(text)]
+
+
 def test_checksums():
     def slow_luhn(s):
         total = 0
