@@ -46,10 +46,17 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s)) % 97 == 1
 
 
+#: A quoted value of at least 12 characters runs to its closing quote, on the same line and past escaped ones; a bare one,
+#: or one that is not closed, to white space. A closed quote of fewer characters is no secret.
+SECRET = re.compile(
+    r"(?i)(?<![a-z0-9])(?:api[_-]?key|access[_-]?key|secret|token|passw(?:or)?d|pwd)[\"']?\s{0,3}(?>:=|=>|={1,3}|::?)\s{0,3}"
+    r"(?:\"(?P<double>(?:\\.|[^\"\\\n]){12,}+)\"|'(?P<single>(?:\\.|[^'\\\n]){12,}+)'"
+    r"|(?:\"(?!(?:\\.|[^\"\\\n])*+\")|'(?!(?:\\.|[^'\\\n])*+')|(?![\"']))(?P<bare>\S{12,}))"
+)
 _W = frozenset
 KINDS = (
     Kind("email", re.compile(r"(?<![\w.+%-])\w[\w.+%-]{0,63}@(?:[^\W_](?:[\w-]{0,62}[^\W_])?\.){1,8}[^\W\d_]{2,24}(?![\w@-])"), 0.9, _W("email mail contact kontakt correo courriel".split()), _W(), "@"),
-    Kind("secret", re.compile(r"(?i)(?<![a-z0-9])(?:api[_-]?key|access[_-]?key|secret|token|passw(?:or)?d|pwd)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([a-z0-9+/_.~-]{12,200}={0,2})[\"']?"), 0.85, _W("key auth bearer credentials".split()), _W("example placeholder".split()), "=:"),
+    Kind("secret", SECRET, 0.85, _W("key auth bearer credentials".split()), _W("example placeholder".split()), "=:"),
     Kind("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])"), 0.2, _W("iban bank account konto compte cuenta".split()), _W(), "0123456789"),
     Kind("card", re.compile(r"\d+(?:[ -]\d+)*"), 0.2, _W("card visa mastercard amex credit karte carte tarjeta".split()), _W("order isbn tracking invoice serial".split()), "0123456789"),
     Kind("phone", re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-]|\.\d)"), 0.6, _W("phone tel telephone mobile call fax telefon teléfono téléphone".split()), _W("order isbn invoice version".split()), "0123456789"),
@@ -144,7 +151,7 @@ def _cards(text: str, start: int, end: int) -> list[tuple[int, int]]:
 
 def _proposed(kind: str, text: str, m: re.Match) -> list[tuple[int, int, int]]:
     """(where the context before it ends, start, end) of the spans of a match."""
-    start, end = m.span(1) if kind == "secret" else m.span()
+    start, end = m.span(m.lastgroup) if kind == "secret" else m.span()
     if kind == "card":
         return [(a, a, b) for a, b in _cards(text, start, end)]
     if kind == "iban":
@@ -152,9 +159,15 @@ def _proposed(kind: str, text: str, m: re.Match) -> list[tuple[int, int, int]]:
     return [(m.start(), start, end)]
 
 
+def _within(start: int, end: int, spans: list[tuple[int, int]]) -> bool:
+    """Whether the span is a part, not the whole, of one of spans (by start, apart from each other)."""
+    i = bisect.bisect_right(spans, start, key=lambda s: s[0]) - 1
+    return i >= 0 and end <= spans[i][1] and (start, end) != spans[i]
+
+
 def find(text: str | None, threshold: float = THRESHOLD) -> list[tuple[str, int, int, float, bool]]:
     """(kind, start, end, score, checksum passed) of the spans in a text, by start. Where spans overlap the one of the
-    higher score stays, then the earlier, then the longer. Null has none."""
+    higher score stays, then the earlier, then the longer; parts of a secret give way to it. Null has none."""
     if not text:
         return []
     found = []
@@ -168,6 +181,10 @@ def find(text: str | None, threshold: float = THRESHOLD) -> list[tuple[str, int,
             score = min(1.0, k.base + score + RAISE * bool(words & k.near) - LOWER * bool(words & k.against))
             if score >= threshold:
                 found.append((k.name, start, end, round(score, 4), checked))
+    # nothing within a secret may take its place, as the rest of it would stay
+    secrets = [f[1:3] for f in found if f[0] == "secret"]  # in order, apart from each other
+    if secrets:
+        found = [f for f in found if not _within(f[1], f[2], secrets)]
     found.sort(key=lambda f: (-f[3], f[1], -f[2]))
     kept: list[tuple[str, int, int, float, bool]] = []  # by start; they don't overlap, so two neighbours decide
     for f in found:

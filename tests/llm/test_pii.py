@@ -69,6 +69,50 @@ def test_cards_are_found_whatever_stands_beside_them():
         assert card in [v for _, v in kinds(text)]
 
 
+LONG = "eyJhbGciOiJIUzI1NiJ9." + "aB3_-" * 60
+
+
+@pytest.mark.parametrize(
+    ("text", "value"),
+    [
+        (f"token: {LONG} end", LONG),
+        (f'{{"token": "{LONG}", "user": "bob"}}', LONG),
+        ('password = "LongEnoughPass1!restOfIt" end', "LongEnoughPass1!restOfIt"),
+        ('password = "p@ssw0rd-Long!" end', "p@ssw0rd-Long!"),
+        ("password=p@ssw0rd-Long!\nnext", "p@ssw0rd-Long!"),
+        ("pwd: 'correct horse \"battery\" staple' end", 'correct horse "battery" staple'),
+        (r'secret = "one\"two three four" end', r"one\"two three four"),
+        ('secret = "never-closed-value$1 end', "never-closed-value$1"),
+        ('password := "p@ssw0rd-Long!" end', "p@ssw0rd-Long!"),
+        ('secret = "x!10.1.2.3!a@b.example.com!4111 1111 1111 1111!" card', "x!10.1.2.3!a@b.example.com!4111 1111 1111 1111!"),
+        ('{"token":"short","password":"short","user":"somebody-else"}', None),
+    ],
+)
+def test_secrets_are_whole(text, value):
+    assert kinds(text) == ([("secret", value)] if value else [])
+    assert redact(text) == (text.replace(value, "<SECRET>") if value else text)
+
+
+def test_secrets_of_any_characters():
+    r = random.Random(11)
+    marks = "".join(c for c in string.punctuation if c not in "\"'\\")
+    for _ in range(300):
+        value = "".join(r.choice(string.ascii_letters + string.digits + marks) for _ in range(r.choice([12, 40, 199, 201, 700])))
+        quote = r.choice(["", '"', "'"])
+        if not quote and value[0] in "=:>":
+            continue
+        assert redact(f"x api_key = {quote}{value}{quote} y") == f"x api_key = {quote}<SECRET>{quote} y"
+
+
+def test_secrets_stay_linear():
+    import time
+
+    for text in ('token = "' * 100_000, "token = '\"" * 100_000, 'token="\\' * 100_000, "token=" * 150_000, 'token = "' + "a b " * 200_000, "pwd: '" + "pwd: \"x" * 100_000):
+        began = time.time()
+        find(text)
+        assert time.time() - began < 20
+
+
 def test_checksums():
     def slow_luhn(s):
         total = 0
