@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,8 +11,18 @@ from quillsift.llm.common import written
 
 #: Longest word that a host name is split into.
 LONGEST = 20
-#: Host words that mark a host as unwanted in training. Scoring never looks at this list.
-SEEDS = ("casino", "bets", "pills", "spam", "adult", "ads")
+#: Host words that mark a host as unwanted in training, by the usual classes of block lists: gambling, adult, drugs,
+#: fraud and piracy, advertising. Scoring never looks at this list. Words that are common within others are left out.
+SEEDS = tuple(
+    "casino casinos bet bets betting gamble gambling poker slots jackpot roulette blackjack baccarat lottery lotto sportsbook bookmaker bookmakers wager wagering "
+    "adult adults porn porno pornography xxx sex sexy sexcam sexcams nude nudes naked nsfw erotic erotica erotik hentai milfs fetish escort escorts camgirl camgirls hookup hookups strippers bdsm "
+    "pills viagra cialis levitra xanax tramadol valium vicodin ambien oxycodone phentermine steroids "
+    "spam spammer spammers phish phishing malware spyware adware ransomware botnet scam scams payday replicas warez keygen keygens torrents pirated nulled "
+    "ads adserver adservers advert adverts advertising popup popups popunder popunders clickbait".split()
+)
+#: Share of all words that the segmenter takes a seed of more than three letters to have at least: documents for training
+#: may hold none, and one that is as rare as any unknown word would not be split off unknown letters.
+SEED_SHARE = 1e-3
 
 
 def host_of(url: Column) -> Column:
@@ -36,6 +48,15 @@ def corpus_words(docs: DataFrame) -> DataFrame:
     return w.where((F.length("word") > 0) & (F.length("word") <= LONGEST)).groupBy("word").agg(F.count("*").alias("n"))
 
 
+def with_seeds(counts: DataFrame, seeds: tuple[str, ...], total: int) -> DataFrame:
+    """counts with every seed as a word: seen once at least, one of more than three letters SEED_SHARE of total times."""
+    if not seeds:
+        return counts
+    seen = {r.word: r.n for r in counts.where(F.col("word").isin(*seeds)).collect()}
+    rows = [(w, max(seen.get(w, 0), 1, math.ceil(total * SEED_SHARE) if len(w) > 3 else 1)) for w in sorted(set(seeds))]
+    return counts.where(~F.col("word").isin(*seeds)).unionByName(counts.sparkSession.createDataFrame(rows, "word string, n long"))
+
+
 def segmented(parts: DataFrame, counts: DataFrame, total: int) -> DataFrame:
     """(part, words): the split of each distinct part into words of the highest product of unigram probabilities.
 
@@ -69,7 +90,8 @@ def segmented(parts: DataFrame, counts: DataFrame, total: int) -> DataFrame:
 def url_scores(pages: DataFrame, docs: DataFrame, seeds: tuple[str, ...] = SEEDS, smoothing: float = 1.0, threshold: float = 0.0) -> DataFrame:
     """Operator 8. One row for each row of pages (page_id, url): page_id, host, host_words, score, keep.
 
-    A host is unwanted for training if one of its words is in seeds. Multinomial naive Bayes over the tokens of all
+    A host is unwanted for training if one of its words is in seeds, which the segmenter knows whether documents hold them
+    or not. Multinomial naive Bayes over the tokens of all
     URLs (host words marked 'h:', path tokens 'p:') gives score, the log odds of wanted to unwanted, rounded to 6
     digits; keep is score >= threshold. So that a seed word does not judge itself alone, a host's other words and its
     paths count too, and unlisted hosts that share them are caught. Null and malformed URLs have host '' and the
@@ -81,7 +103,7 @@ def url_scores(pages: DataFrame, docs: DataFrame, seeds: tuple[str, ...] = SEEDS
     total = counts.agg(F.sum("n")).first()[0] or 0
     hosts = u.groupBy("host").agg(F.count("*").alias("n"))
     parts = hosts.select("host", F.posexplode_outer(host_parts(F.col("host"))).alias("at", "part"))
-    seg = segmented(parts.where("part is not null"), counts, total)
+    seg = segmented(parts.where("part is not null"), with_seeds(counts, seeds, total), total)
     words = parts.join(seg, "part", "left").groupBy("host").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "words"))), lambda x: F.coalesce(x["words"], F.array().cast("array<string>")))).alias("host_words"))
     words = written(words.select("host", "host_words", F.arrays_overlap("host_words", F.array(*map(F.lit, seeds))).alias("bad")), "host-words")
 

@@ -81,3 +81,18 @@ def test_odd_urls(spark):
     assert url_scores(d.limit(0), docs(spark)).count() == 0
     assert url_scores(d, docs(spark).limit(0)).count() == len(rows)
     assert corpus_words(docs(spark)).where("word = 'the'").first().n == 20
+
+
+def test_unwanted_hosts_of_any_words(spark):
+    """Hosts of other words than those of the test tables, run together, without a seed word in any document."""
+    text = "night videos online buy free best news of the garden house reads threads heads specialist essex alphabet spills " * 200
+    d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    ill = ["www.porn-videos.net", "xxx.com", "xxxvideos.com", "pokernight.org", "onlinepoker.org", "buyviagra.com", "viagra24.de", "phishing-host.io", "pornhub.com", "zqgambling.com", "freetorrents.net", "bestescorts.co.uk"]
+    good = ["news.garden.org", "threads.net", "reads.org", "heads.com", "specialist.de", "essex.ac.uk", "alphabet.com", "spills.org", "housenews.com", "zqqx.com"] * 2
+    rows = [(i, f"https://{h}/{i % 3}") for i, h in enumerate(ill + good)]
+    out = {r.page_id: r for r in url_scores(spark.createDataFrame(rows, "page_id long, url string"), d).collect()}
+    assert len(out) == len(rows) and all(r.score is not None for r in out.values())
+    for i, (_, h) in enumerate(rows):
+        assert bool(set(out[i].host_words) & set(SEEDS)) == (i < len(ill)), (h, out[i].host_words)
+    assert not any(out[i].keep for i in range(len(ill)))
+    assert all(out[i].keep for i in range(len(ill), len(rows)))
