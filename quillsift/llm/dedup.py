@@ -23,6 +23,12 @@ def _grouped(docs: DataFrame, radius: int, blocks: int, match: int, text_col: st
     return rows.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("doc_id", "key", "n", F.coalesce("root", "fp").alias("root"))
 
 
+def near_groups(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, match: int = MATCH, text_col: str = "text") -> DataFrame:
+    """(doc_id, key, root): the group of each distinct (doc_id, text_key of its text); root is null where there is no
+    word."""
+    return _grouped(docs, radius, blocks, match, text_col).select("doc_id", "key", "root")
+
+
 def simhash_groups(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, match: int = MATCH, text_col: str = "text") -> DataFrame:
     """Operator 6 as a report. One row for each document that stays: doc_id, n_rows, copies (sorted doc_ids of its
     group, its own included). Documents without a word are in no group and each distinct one stays by itself. The

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import est_tokens, free, written
+from quillsift.llm.common import est_tokens, free, text_key, written
 
 CAPACITY = 4096
 #: Documents packed together; a constant, so that the size of a shard does not follow the corpus.
@@ -141,19 +141,26 @@ def pack_shard(docs: pd.DataFrame, capacity: int) -> pd.DataFrame:
     return o.drop(columns="at")
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS, cluster_col: str | None = None, tokens_col: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS, cluster_col: str | None = None, tokens_col: str | None = None, groups: DataFrame | None = None) -> DataFrame:
     """Operator 2. One row for each piece of each row of docs: doc_id, piece (from 0), first_token, n_tokens, shard,
     bin (within the shard), bin_offset.
 
     cluster_col names the duplicate cluster; by default it is the text itself, so that equal texts never share a
-    bin. A null cluster conflicts with nothing, a null source is a source of its own. tokens_col names exact lengths;
-    by default they are estimated from the text. Rows of no tokens (null and empty texts) get no piece. Repeated rows
+    bin. groups instead gives the cluster of each (doc_id, text) as (doc_id, key, root), key being its text_key, at most
+    once each; where root is null or missing it is the text itself. A null cluster conflicts with nothing, a
+    null source is a source of its own. tokens_col names exact lengths; by default they are estimated from the text. Rows of no tokens (null and empty texts) get no piece. Repeated rows
     are packed as often as they occur. An empty table gives no rows.
     """
+    if groups is not None and cluster_col is not None:
+        raise ValueError("clusters come from cluster_col or from groups, not from both")
     text = F.col("text")
     n = est_tokens(text) if tokens_col is None else F.coalesce(F.col(tokens_col).cast("long"), F.lit(0))
-    cluster = F.xxhash64(text) if cluster_col is None else F.when(F.col(cluster_col).isNotNull(), F.xxhash64(F.col(cluster_col).cast("string")))
+    cluster = text_key(text) if cluster_col is None else F.when(F.col(cluster_col).isNotNull(), F.xxhash64(F.col(cluster_col).cast("string")))
     rows = docs.select(F.col("doc_id"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("?")).alias("src"), cluster.alias("cluster"), n.alias("n_tokens"), F.xxhash64("doc_id", text).alias("h")).where("n_tokens > 0")
+    if groups is not None:  # only keys and lengths are joined, no texts
+        g = groups.where("root is not null").select(F.col("doc_id").alias("g_id"), F.col("key").alias("g_key"), F.xxhash64("root").alias("g_root"))
+        rows = rows.join(g, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("cluster") == F.col("g_key")), "left")
+        rows = rows.select("doc_id", "src", F.coalesce("g_root", "cluster").alias("cluster"), "n_tokens", "h")
     rows = written(rows, "lengths")
     shards = max(1, -(-rows.count() // shard_docs))
     kind = rows.schema["doc_id"].dataType.simpleString()

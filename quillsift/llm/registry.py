@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillsift.llm.chat import format_chats, typed_parts
 from quillsift.llm.common import tables
-from quillsift.llm.dedup import simhash_groups
+from quillsift.llm.dedup import near_groups, simhash_groups
 from quillsift.llm.html import extract_content
 from quillsift.llm.mixing import mix_rates
 from quillsift.llm.packing import pack
@@ -24,7 +24,8 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(*tables(spark, sf_dir, "documents"))
+    (docs,) = tables(spark, sf_dir, "documents")
+    return pack(docs, groups=near_groups(docs))
 
 
 def op3_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

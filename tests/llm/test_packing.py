@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 
 from quillsift.llm.packing import pack, pack_shard
+from quillsift.llm.registry import QUERIES
 
 from .conftest import docs_frame
 
@@ -71,3 +72,23 @@ def test_given_lengths_and_clusters(spark):
     d = spark.createDataFrame([(1, "a", "s", 5, "c"), (2, "b", "t", 5, "c"), (3, "d", "u", 3, None), (4, "e", "v", None, "c")], "doc_id long, text string, source string, len int, c string")
     out = {r.doc_id: r.bin for r in pack(d, capacity=10, cluster_col="c", tokens_col="len").collect()}
     assert out[1] != out[2] and out[3] in (out[1], out[2]) and 4 not in out
+
+
+def test_near_copies_never_share_a_bin(spark, tmp_path):
+    """The registered query, over copies that differ by one character and come from different sources."""
+    r = random.Random(4)
+    rows, base = [], {}
+    for k in range(30):
+        text = " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 9))) for _ in range(300))
+        for c in range(r.choice([1, 2, 6])):
+            at = r.randrange(len(text))
+            base[len(rows)] = k
+            rows.append((len(rows), text[:at] + "q" + text[at + 1 :], f"s{c}"))
+    rows += [(1000, "!!!", "s0"), (1001, "!!!", "s1"), (None, rows[0][1], "s8"), (1002, None, "s9")]
+    docs_frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    out = QUERIES["op2_best_fit_packing"](spark, str(tmp_path)).toPandas()
+    assert len(out) == len(rows) - 1
+    name = {**base, 1000: "!", 1001: "!"}
+    of = [base[0] if i != i else name[int(i)] for i in out.doc_id]
+    assert not out.assign(of=of).duplicated(["shard", "bin", "of"]).any()
+    assert out.bin.nunique() < len(out)
