@@ -113,6 +113,17 @@ def test_secrets_stay_linear():
         assert time.time() - began < 20
 
 
+@pytest.mark.parametrize("word", "order invoice tracking serial isbn".split())
+def test_no_word_vetoes_a_confirmed_card(word):
+    assert kinds(f"{word} paid with 4111 1111 1111 1111") == [("card", "4111 1111 1111 1111")]
+    assert kinds(f"{word} paid with 4111 1111 1111 1112") == []
+
+
+def test_near_words_outweigh_words_against():
+    assert kinds("order: ssn 123-45-6789") == [("ssn", "123-45-6789")]
+    assert kinds("order: 123-45-6789") == []
+
+
 def test_checksums():
     def slow_luhn(s):
         total = 0
