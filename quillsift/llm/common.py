@@ -7,12 +7,15 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillsift.sources.scratch import release, shared_dir, written
+from quillsift.sources.scratch import discard, release, shared_dir, written
 
-__all__ = ["est_tokens", "free", "maybe_broadcast", "release", "shared_dir", "tables", "text_key", "without_rows", "written"]
+__all__ = ["discard", "est_tokens", "free", "join_hot", "maybe_broadcast", "release", "shared_dir", "tables", "text_key", "without_rows", "written"]
 
 #: A key table of at most this many bytes is sent to every executor; a larger one is joined by shuffle.
 BROADCAST_BYTES = 32 << 20
+#: At most so many keys count as hot in join_hot().
+HOT_KEYS = 10_000
+
 
 def free(df: DataFrame, *bases: str) -> list[str]:
     """Names for working columns that no column of df has, whatever the case."""
@@ -37,6 +40,19 @@ def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def join_hot(rows: DataFrame, info: DataFrame, key: str, weight: str) -> DataFrame:
+    """rows left-joined on key with info, which has one row a key and in weight how many rows have it; both are read
+    several times, so they should be written. weight is dropped.
+
+    Keys that hold more than 1 / HOT_KEYS of all rows, of which there are fewer than HOT_KEYS, are joined by broadcast, so that
+    no task gets a hot key whole; the rest is joined by shuffle."""
+    total = info.agg(F.sum(weight)).first()[0] or 0
+    heavy = F.col(weight) * HOT_KEYS > F.lit(total)
+    hot, cold = info.where(heavy).drop(weight), info.where(~heavy).drop(weight)
+    first = rows.join(F.broadcast(hot), key)
+    return first.unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, "left"))
+
+
 def without_rows(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: str = "left_anti") -> DataFrame:
     """docs without (left_anti) or only (left_semi) the rows whose (id, text_key) is in keys (columns id, key).
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import written
+from quillsift.llm.common import discard, written
 
 
 def _star(pairs: DataFrame, small: bool) -> DataFrame:
@@ -20,22 +20,19 @@ def _star(pairs: DataFrame, small: bool) -> DataFrame:
     return out.where(F.col("u") > F.col("v")).distinct()
 
 
-def components(edges: DataFrame, label: str = "components", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(node, root) for every node of edges (u, v): root is the least node of its component, itself included.
 
     Loops, repeated edges and either direction are allowed; null ends are dropped; an empty input gives no rows.
-    Each round is written to the shared folder, so a lost executor costs one round at most.
+    Each round is written to the shared folder, so a lost executor costs one round at most. Rounds end when one changes
+    nothing, which must happen: each either ties some node to a lesser one or leaves the edges as they are.
     """
     e = edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     e = written(e.distinct(), label)
     state = None
-    for _ in range(rounds):
-        now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == state or not now[0]:
-            break
-        state = now
+    while (now := e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()) != state and now[0]:
+        state, before = now, e
         e = written(_star(_star(e, small=False), small=True), label)
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
+        discard(before)
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)

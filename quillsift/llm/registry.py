@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillsift.llm.chat import format_chats, typed_parts
 from quillsift.llm.common import tables
@@ -29,7 +30,8 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint_search(*tables(spark, sf_dir, "documents"))
+    """The queries searched for are the documents whose id is divisible by 100; all documents are searched."""
+    return fingerprint_search(*tables(spark, sf_dir, "documents"), asked=F.col("doc_id") % 100 == 0)
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,24 +55,24 @@ SEARCH = f"""
 with {FINGERPRINTS},
 rows as (select doc_id, hi from documents left join fps using (text)),
 same as (select hi, min(doc_id) as same_id from rows where hi is not null group by hi),
-near as (select a.hi, list(b.same_id order by b.same_id) as near_ids from same a join same b on a.hi <> b.hi and bit_count(xor(a.hi, b.hi)) <= 6 group by a.hi)
-select doc_id, lower(lpad(to_hex(hi), 16, '0')) as fingerprint, same_id, case when doc_id = same_id then near_ids end as near_ids
-from rows left join same using (hi) left join near using (hi)
+near as (select a.hi, a.same_id, b.same_id as near_id, bit_count(xor(a.hi, b.hi)) as distance from same a join same b on a.hi <> b.hi and bit_count(xor(a.hi, b.hi)) <= 6
+  where a.hi in (select hi from rows where doc_id % 100 = 0))
+select doc_id, lower(lpad(to_hex(hi), 16, '0')) as fingerprint, same_id, null::bigint as near_id, null::integer as distance from rows left join same using (hi)
+union all select same_id, lower(lpad(to_hex(hi), 16, '0')), same_id, near_id, distance::integer from near
 """
 
-_BLOCKS = " + ".join(f"((xor(a.{h}, b.{h}) >> {8 * i}) & 255 = 0)::integer" for h in ("hi", "lo") for i in range(8))
-
+#: All pairs within the radius, whatever blocks they share.
 NEAR_DEDUP = f"""
 with recursive {FINGERPRINTS},
-rows as (select doc_id, text, hi, lo from documents left join fps using (text)),
+rows as (select doc_id, hi, lo from documents left join fps using (text)),
 nodes as (select row_number() over (order by hi, lo) as node, hi, lo from (select distinct hi, lo from fps)),
 edges as (select a.node as u, b.node as v from nodes a join nodes b on a.node <> b.node
-  and bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= {dedup.RADIUS} and {_BLOCKS} >= {dedup.MATCH}),
+  and bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= {dedup.RADIUS}),
 reach as (select node, node as root from nodes union select e.v, r.root from reach r join edges e on e.u = r.node),
 roots as (select node, min(root) as root from reach group by node)
-select min(doc_id) as doc_id, count(*) as n_rows, list(distinct doc_id order by doc_id) as copies
+select doc_id, case when root is null then doc_id else min(doc_id) over (partition by root) end as class_id,
+  case when root is null then 0 else count(*) over (partition by root) - 1 end as n_links
 from rows left join nodes using (hi, lo) left join roots using (node)
-group by root, case when root is null then doc_id end, case when root is null then text end
 """
 
 
