@@ -186,8 +186,8 @@ with recursive vectors as (select row_number() over (order by embedding) as node
 edges as (select a.node as u, b.node as v from vectors a join vectors b on a.node <> b.node and list_cosine_similarity(a.v, b.v) >= {rpforest.THRESHOLD!r}),
 reach as (select node, node as root from vectors union select e.v, r.root from reach r join edges e on e.u = r.node),
 roots as (select node, min(root) as root from reach group by node)
-select min(vec_id) as vec_id, count(*) as n_rows, list(distinct vec_id order by vec_id) as copies
-from embeddings e join vectors using (embedding) join roots using (node) group by root
+select vec_id, min(vec_id) over (partition by root) as class_id, count(*) over (partition by root) - 1 as n_links
+from embeddings e join vectors using (embedding) join roots using (node)
 """
 
 ORACLES: dict[str, str] = {
