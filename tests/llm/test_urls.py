@@ -3,14 +3,15 @@ from __future__ import annotations
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
 
-from quillsift.llm.urls import LONGEST, SEEDS, corpus_words, segmented, url_scores
+from quillsift.llm.urls import LONGEST, SEEDS, best_split, corpus_words, segmented, url_scores
 
 
-def best_split(part, counts, total):
+def all_splits(part, counts, total):
     """Every split, scored and compared from the last word on."""
     def lp(w):
         n = counts.get(w, 0)
@@ -36,7 +37,7 @@ def test_segmentation_against_all_splits(spark):
     parts = {"spamfarm", "freebets", "casinowin", "therethe", "zzqx", "a", "thea"} | {"".join(r.choice(list(vocab) + ["q"]) for _ in range(3))[:13] for _ in range(60)}
     counts = spark.createDataFrame(list(vocab.items()), "word string, n long")
     got = {x.part: x.words for x in segmented(spark.createDataFrame([(p,) for p in parts], "part string"), counts, sum(vocab.values())).collect()}
-    assert got == {p: best_split(p, vocab, sum(vocab.values())) for p in parts}
+    assert got == {p: all_splits(p, vocab, sum(vocab.values())) for p in parts}
     assert got["spamfarm"] == ["spam", "farm"] and got["freebets"] == ["free", "bets"]
 
 
@@ -96,3 +97,31 @@ def test_unwanted_hosts_of_any_words(spark):
         assert bool(set(out[i].host_words) & set(SEEDS)) == (i < len(ill)), (h, out[i].host_words)
     assert not any(out[i].keep for i in range(len(ill)))
     assert all(out[i].keep for i in range(len(ill), len(rows)))
+
+
+def test_a_very_long_host():
+    began = time.perf_counter()
+    words = best_split("spamfarm" * 12_500 + "z", {"spam": -5.0, "farm": -5.0}, -14.0, math.log(10))
+    assert words[-1] == "z" and words[:-1] == ["spam", "farm"] * 12_500
+    assert time.perf_counter() - began < 30
+
+
+def test_long_hosts_in_a_table(spark):
+    rows = [(1, "http://" + "spamfarm" * 1000 + ".com/a"), (2, "http://news.org/b"), (3, "http://" + "q" * 50 + ".org")]
+    out = {r.page_id: r for r in url_scores(spark.createDataFrame(rows, "page_id long, url string"), docs(spark)).collect()}
+    assert out[1].host_words == ["spam", "farm"] * 1000 + ["com"] and out[3].host_words == ["q" * 50, "org"]
+
+
+def test_given_labels_and_hosts_held_out(spark):
+    """Hosts of words that no seed names; half of the hosts are labelled, the others are judged by their words."""
+    r = random.Random(3)
+    ill, good = ["zork", "blarg", "quux", "frob"], ["house", "garden", "news", "day"]
+    hosts = sorted({(f"{r.choice(ws)}{r.choice(ws)}{r.choice(['the', 'of', ''])}.{r.choice(['com', 'org'])}", ws is ill) for ws in (ill, good) for _ in range(60)})
+    rows = [(i, f"http://{h}/{r.choice(['a', 'b'])}/{i}") for i, (h, _) in enumerate(hosts)]
+    d = spark.createDataFrame([(1, "zork blarg quux frob house garden news day the of " * 20)], "doc_id long, text string")
+    known = spark.createDataFrame(hosts[::2], "host string, bad boolean")
+    out = url_scores(spark.createDataFrame(rows, "page_id long, url string"), d, labels=known).collect()
+    held = [(x.keep, hosts[x.page_id][1]) for x in out if x.page_id % 2]
+    assert len(out) == len(rows) and len(held) > 20
+    assert sum(keep != bad for keep, bad in held) >= 0.95 * len(held)
+    assert all(x.keep for x in url_scores(spark.createDataFrame(rows, "page_id long, url string"), d).collect())
