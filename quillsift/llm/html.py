@@ -8,6 +8,7 @@ from the same messages. All pages of a batch form one forest that is handled lev
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 from collections.abc import Iterator
@@ -15,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +41,8 @@ CLASS_AGAINST = re.compile(r"(?i)(?:^|[\s\"'_-])(?:ads?|advert\w*|banner|nav\w*|
 CLASS_FOR = re.compile(r"(?i)(?:^|[\s\"'_-])(?:content|post|entry|text|story|body|article)(?:$|[\s\"'_-])")
 STOPS = re.compile(r"[.,;:!?]")
 NOT_CONTENT = frozenset("nav aside footer header form button head title".split())
+#: Nesting that the parser follows.
+MAX_DEPTH = 512
 #: Edge kinds, by the child: text, inline element, block element.
 EDGES = 3
 N_NUM = 12
@@ -57,12 +61,16 @@ class Tree:
 
 def parse(page: str | None) -> Tree:
     """The DOM of a page, as far as the model needs it. Broken HTML never fails: unknown end tags are ignored, open
-    elements end with the page, and an open paragraph ends where a block starts. Null and '' give a root alone."""
+    elements end with the page, and an open paragraph ends where a block starts. What is nested more than MAX_DEPTH deep
+    becomes a child of the element at that depth, as in browsers. Null and '' give a root alone. The time is linear in
+    the length of the page: the places of the open elements are kept by tag, and nothing walks up the stack."""
     t = Tree([-1], ["html"], [""], [""])
     stack, at, page = [0], 0, page or ""
+    places: dict[str, list[int]] = {}  # on the stack, by tag, without the root
+    blocks: list[int] = []  # on the stack, of elements in BLOCK
 
     def add(tag: str, text: str, attrs: str) -> int:
-        t.parent.append(stack[-1])
+        t.parent.append(stack[min(len(stack), MAX_DEPTH) - 1])
         t.tag.append(tag)
         t.text.append(text)
         t.attrs.append(attrs)
@@ -74,6 +82,13 @@ def parse(page: str | None) -> Tree:
         if s:
             add("#text", s, "")
 
+    def close(down_to: int) -> None:
+        while len(stack) > down_to:
+            tag = t.tag[stack.pop()]
+            places[tag].pop()
+            if tag in BLOCK:
+                blocks.pop()
+
     pos = 0
     while m := TOKEN.search(page, pos):
         words(m.start())
@@ -83,10 +98,8 @@ def parse(page: str | None) -> Tree:
             continue
         name = name.lower()
         if m.group(1):
-            for k in range(len(stack) - 1, 0, -1):
-                if t.tag[stack[k]] == name:
-                    del stack[k:]
-                    break
+            if places.get(name):
+                close(places[name][-1])
             continue
         if name in RAW:
             if not m.group(3).endswith("/"):
@@ -95,24 +108,19 @@ def parse(page: str | None) -> Tree:
             continue
         if name == "html":
             continue
-        if name in BLOCK:
-            for k in range(len(stack) - 1, 0, -1):
-                tag = t.tag[stack[k]]
-                if tag == "p":
-                    del stack[k:]
-                    break
-                if tag in BLOCK:
-                    break
+        if name in BLOCK and blocks and t.tag[stack[blocks[-1]]] == "p":
+            close(blocks[-1])
         if name in CLOSES:
             ends, stops = CLOSES[name]
-            for k in range(len(stack) - 1, 0, -1):
-                tag = t.tag[stack[k]]
-                if tag in stops:
-                    break
-                if tag in ends:
-                    del stack[k:]
+            stop = max((places[s][-1] for s in stops if places.get(s)), default=0)
+            first = [p[i] for e in ends if (p := places.get(e)) and (i := bisect.bisect_right(p, stop)) < len(p)]
+            if first:
+                close(min(first))
         i = add(name, "", m.group(3))
         if name not in VOID and not m.group(3).endswith("/"):
+            places.setdefault(name, []).append(len(stack))
+            if name in BLOCK:
+                blocks.append(len(stack))
             stack.append(i)
     words(len(page))
     return t
@@ -131,14 +139,25 @@ def labels(t: Tree) -> np.ndarray | None:
 
 @dataclass
 class Forest:
-    """Trees side by side. x: features; levels: node numbers by depth; edge: kind of the edge to the parent."""
+    """Trees side by side. num: the numeric features; tag, parent_tag: numbers of the tags, each a feature of its own;
+    levels: node numbers by depth; edge: kind of the edge to the parent."""
 
     parent: np.ndarray
-    x: np.ndarray
+    num: np.ndarray
+    tag: np.ndarray
+    parent_tag: np.ndarray
     edge: np.ndarray
     levels: list[np.ndarray]
     starts: np.ndarray
 
+    def scores(self, unary: np.ndarray) -> np.ndarray:
+        """Features times weights, for each node."""
+        return self.num @ unary[:N_NUM] + unary[N_NUM + self.tag] + unary[N_NUM + len(TAGS) + self.parent_tag]
+
+    def sums(self, of: np.ndarray) -> np.ndarray:
+        """For each feature, its sum over the nodes times of: the transpose of scores()."""
+        return np.concatenate([self.num.T @ of, np.bincount(self.tag, of, len(TAGS)), np.bincount(self.parent_tag, of, len(TAGS))])
+
 
 def forest(trees: list[Tree]) -> Forest:
     starts = np.cumsum([0] + [len(t.tag) for t in trees])
@@ -171,18 +190,15 @@ def forest(trees: list[Tree]) -> Forest:
     for level in levels[:0:-1]:
         np.add.at(below, parent[level], below[level])
         np.add.at(links, parent[level], links[level])
-    p = np.maximum(parent, 0)
+    p = np.where(parent < 0, np.arange(n), parent)  # a root stands for its own parent
     size = np.repeat(np.diff(starts), np.diff(starts))
     place = (np.arange(n) - np.repeat(starts[:-1], np.diff(starts))) / np.maximum(size, 1)
     kids = (last - first).astype(np.float64)
     isin = tag == 0
     num = [np.ones(n), np.log1p(own) / 4, np.log1p(below) / 6, links / np.maximum(below, 1), stops / np.maximum(spaces, 1), np.log1p(spaces) / 3, bad, pro, np.minimum(depth, 20) / 10, place, np.log1p(kids[p]) / 3, np.log1p(below[p]) / 6]
-    x = np.zeros((n, N_FEATURES), np.float64)
-    x[:, :N_NUM] = np.stack(num, axis=1) if n else 0
-    x[np.arange(n), N_NUM + tag] = 1
-    x[np.arange(n), N_NUM + len(TAGS) + tag[p]] = 1
+    num = np.stack(num, axis=1) if n else np.zeros((0, N_NUM))
     edge = np.where(isin, 0, np.array([2 if g in BLOCK else 1 for g in tags], np.int64)) if n else np.zeros(0, np.int64)
-    return Forest(parent, x, edge, levels, starts)
+    return Forest(parent, num, tag, tag[p], edge, levels, starts)
 
 
 @dataclass
@@ -193,22 +209,25 @@ class Weights:
     pair: np.ndarray
 
 
-def sum_product(f: Forest, w: Weights) -> tuple[np.ndarray, np.ndarray, float]:
-    """(marginals of state 1, edge marginals [n, parent state, child state] with zeros at roots, log partition)."""
+def sum_product(f: Forest, w: Weights, edges: bool = True) -> tuple[np.ndarray, np.ndarray | None, float]:
+    """(marginals of state 1, edge marginals [n, parent state, child state] with zeros at roots, log partition). Without
+    edges their marginals are left out."""
     n = len(f.parent)
     up = np.zeros((n, 2))
-    up[:, 1] = f.x @ w.unary
+    up[:, 1] = f.scores(w.unary)
     psi = w.pair[f.edge]
     msg = np.zeros((n, 2))
     for level in f.levels[:0:-1]:
         msg[level] = np.logaddexp.reduce(up[level][:, None, :] + psi[level], axis=2)
         np.add.at(up, f.parent[level], msg[level])
-    full, pairs = up.copy(), np.zeros((n, 2, 2))
+    full, pairs = up.copy(), np.zeros((n, 2, 2)) if edges else None
     log_z = float(np.logaddexp.reduce(up[f.levels[0]], axis=1).sum()) if f.levels else 0.0
     for level in f.levels[1:]:
         rest = full[f.parent[level]] - msg[level]
-        joint = rest[:, :, None] + psi[level] + up[level][:, None, :]
         full[level] = np.logaddexp.reduce(rest[:, :, None] + psi[level], axis=1) + up[level]
+        if pairs is None:
+            continue
+        joint = rest[:, :, None] + psi[level] + up[level][:, None, :]
         joint -= np.logaddexp.reduce(joint.reshape(len(level), 4), axis=1)[:, None, None]
         pairs[level] = np.exp(joint)
     return 1 / (1 + np.exp(np.clip(full[:, 0] - full[:, 1], -500, 500))), pairs, log_z
@@ -229,7 +248,7 @@ def train(pages: list[str], steps: int = 200, rate: float = 0.1, l2: float = 1e-
         p, pairs, _ = sum_product(f, Weights(w[:N_FEATURES], w[N_FEATURES:].reshape(EDGES, 2, 2)))
         expected = np.zeros((EDGES, 2, 2))
         np.add.at(expected, f.edge[child], pairs[child])
-        g = np.concatenate([f.x.T @ (y - p), (seen - expected).ravel()]) / len(y) - l2 * w
+        g = np.concatenate([f.sums(y - p), (seen - expected).ravel()]) / len(y) - l2 * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
     return Weights(w[:N_FEATURES], w[N_FEATURES:].reshape(EDGES, 2, 2))
@@ -240,7 +259,7 @@ def content(pages: list[str | None], w: Weights, threshold: float) -> Iterator[t
     joined by spaces, blocks by line breaks."""
     trees = [parse(p) for p in pages]
     f = forest(trees)
-    marginal, _, _ = sum_product(f, w)
+    marginal, _, _ = sum_product(f, w, edges=False)
     for t, s in zip(trees, f.starts):
         lines, last, n, kept, total = [], -1, 0, 0, 0.0
         for i, text in enumerate(t.text):
@@ -279,6 +298,19 @@ def training_pages(pages: DataFrame, n: int) -> list[str]:
         share *= 16
 
 
+def portions(b: pa.RecordBatch, rows: int = 128, characters: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """b in order, in slices of at most so many rows and, unless one page alone has more, so many bytes of pages."""
+    sizes = pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy()
+    start = total = 0
+    for i, n in enumerate(sizes):
+        if i > start and (i - start == rows or total + n > characters):
+            yield b.slice(start, i - start)
+            start, total = i, 0
+        total += n
+    if b.num_rows:
+        yield b.slice(start)
+
+
 def extract_content(pages: DataFrame, train_pages: int = 400, threshold: float = 0.5) -> DataFrame:
     """Operator 4. One row for each row of pages (page_id, html): page_id, content, n_texts, n_kept, mean_marginal.
 
@@ -290,7 +322,7 @@ def extract_content(pages: DataFrame, train_pages: int = 400, threshold: float =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in (b.slice(i, 128) for i in range(0, b.num_rows, 128)):
+            for part in portions(b):
                 texts = part.column(1).to_pylist()
                 rows = list(content(texts, w, threshold)) if w else [("", 0, 0, 0.0)] * len(texts)
                 text, n, kept, mean = zip(*rows)

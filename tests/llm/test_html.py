@@ -1,12 +1,26 @@
 from __future__ import annotations
 
+import html
 import itertools
+import random
+import re
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillsift.llm.html import EDGES, N_FEATURES, Weights, content, extract_content, forest, labels, parse, sum_product, train, training_pages
+from quillsift.llm.html import BLOCK, CLOSES, EDGES, MAX_DEPTH, N_FEATURES, N_NUM, RAW, TAGS, VOID, Weights, content, extract_content, forest, labels, parse, portions, sum_product, train, training_pages
+
+
+def one_hot(f):
+    """The feature matrix in full."""
+    x = np.zeros((len(f.parent), N_FEATURES))
+    x[:, :N_NUM] = f.num
+    x[np.arange(len(x)), N_NUM + f.tag] = 1
+    x[np.arange(len(x)), N_NUM + len(TAGS) + f.parent_tag] = 1
+    return x
 
 
 @pytest.mark.parametrize("page", ["<div><p>a <b>c</b></p><ul><li>x<li>y</ul></div>", "text", "", "<a><b><i>deep</i></b></a><p>z", "<table><tr><td>1<td>2<tr><td>3</table>"])
@@ -16,7 +30,7 @@ def test_marginals_against_enumeration(page, seed):
     f = forest([parse(page), parse("<p>other</p>")])
     w = Weights(rng.normal(size=N_FEATURES), rng.normal(size=(EDGES, 2, 2)))
     n = len(f.parent)
-    theta, total, one, pair = f.x @ w.unary, 0.0, np.zeros(n), np.zeros((n, 2, 2))
+    theta, total, one, pair = one_hot(f) @ w.unary, 0.0, np.zeros(n), np.zeros((n, 2, 2))
     for s in itertools.product((0, 1), repeat=n):
         e = np.exp(sum(theta[i] * s[i] for i in range(n)) + sum(w.pair[f.edge[i], s[f.parent[i]], s[i]] for i in range(n) if f.parent[i] >= 0))
         total += e
@@ -36,10 +50,11 @@ def test_gradient_is_that_of_the_likelihood():
 
     def loglik(u):
         _, _, z = sum_product(f, Weights(u, w.pair))
-        return (f.x @ u)[y == 1].sum() - z
+        return (one_hot(f) @ u)[y == 1].sum() - z
 
     p, _, _ = sum_product(f, w)
-    g = f.x.T @ (y - p)
+    g = f.sums(y - p)
+    assert np.allclose(g, one_hot(f).T @ (y - p))
     for k in range(0, N_FEATURES, 7):
         h = np.zeros(N_FEATURES)
         h[k] = 1e-5
@@ -93,3 +108,110 @@ def test_training_pages_are_the_first_by_hash(spark):
     df = spark.createDataFrame(rows, "page_id long, html string").repartition(5)
     want = [r.html for r in df.where("html like '<main%'").orderBy(F.xxhash64("html", "page_id")).collect()]
     assert training_pages(df, 10) == want[:10] and training_pages(df, 60) == want[:60] and training_pages(df, 1000) == want
+
+
+def plain_parse(page):
+    """(tag, text, path of tags) of every node, by a stack that is walked up each time and tags cut by hand."""
+    out, stack, at = [("html", "", ())], ["html"], 0
+    def text(s):
+        s = " ".join(html.unescape(s).split())
+        if s:
+            out.append(("#text", s, tuple(stack)))
+    for m in re.finditer(r"<(/?)([a-z][a-z0-9]*)([^<>]*)>", page):
+        if m.start() < at:
+            continue
+        text(page[at : m.start()])
+        at = m.end()
+        end, name, rest = m.groups()
+        if end:
+            if name in stack[1:]:
+                while stack.pop() != name:
+                    pass
+            continue
+        if name in RAW:
+            close = page.find(f"</{name}>", at)
+            at = len(page) if close < 0 else close + len(name) + 3
+            continue
+        if name == "html":
+            continue
+        if name in BLOCK:
+            nearest = next((i for i in range(len(stack) - 1, 0, -1) if stack[i] in BLOCK), None)
+            if nearest and stack[nearest] == "p":
+                del stack[nearest:]
+        if name in CLOSES:
+            ends, stops = CLOSES[name]
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i] in stops:
+                    break
+                if stack[i] in ends:
+                    del stack[i:]
+        out.append((name, "", tuple(stack)))
+        if name not in VOID:
+            stack.append(name)
+    text(page[at:])
+    return out
+
+
+def seen(t):
+    paths = []
+    for i, p in enumerate(t.parent):
+        paths.append(() if p < 0 else (*paths[p], t.tag[p]))
+    return list(zip(t.tag, t.text, paths))
+
+
+def test_parsing_against_a_plain_parser(spark):
+    r = random.Random(2)
+    tags = "p div b i a ul ol li table tr td th dl dt dd br hr select option span script h1 article".split()
+    for _ in range(400):
+        page = "".join(r.choice([f"<{r.choice(tags)}>", f"</{r.choice(tags)}>", "a &amp; b ", " "]) for _ in range(r.randint(0, 60)))
+        assert seen(parse(page)) == plain_parse(page), page
+    for row in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
+        page = re.sub(r"<!DOCTYPE[^>]*>|<!--.*?-->", "", row.html, flags=re.S)
+        assert [x for x in seen(parse(page))] == plain_parse(page)
+
+
+def test_content_against_its_marginals(spark):
+    """The text of a page, put together again from the marginals of each page by itself."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    w = train(pages[:30])
+    for page, (got, n, kept, mean) in zip(pages, content(pages, w, 0.5)):
+        t = parse(page)
+        m = sum_product(forest([t]), w)[0]
+        at = [i for i, x in enumerate(t.text) if x]
+        lines = []
+        for i in at:
+            if m[i] >= 0.5:
+                block = next((k for k in iter_up(t, i) if t.tag[k] in BLOCK), 0)
+                if lines and lines[-1][0] == block:
+                    lines[-1][1].append(t.text[i])
+                else:
+                    lines.append((block, [t.text[i]]))
+        assert got == "\n".join(" ".join(x) for _, x in lines)
+        assert (n, kept) == (len(at), sum(m[i] >= 0.5 for i in at)) and mean == pytest.approx(m[at].mean() if at else 0)
+
+
+def iter_up(t, i):
+    while t.parent[i] > 0:
+        i = t.parent[i]
+        yield i
+
+
+@pytest.mark.parametrize("page", ["<b>" * 200_000 + "</i>" * 200_000, "<b>" * 100_000 + "<hr>" * 100_000, "<div>" * 100_000 + "<li>x" * 100_000, "</i>" * 400_000, "<" * 400_000, "<a \"" * 100_001, "<p>x" * 200_000])
+def test_time_is_linear(page):
+    began = time.perf_counter()
+    t = parse(page)
+    rng = np.random.default_rng(0)
+    rows = list(content([page], Weights(rng.normal(size=N_FEATURES), rng.normal(size=(EDGES, 2, 2))), 0.5))
+    assert len(rows) == 1 and time.perf_counter() - began < 40
+    depth = [0] * len(t.parent)
+    for i, p in enumerate(t.parent[1:], 1):
+        depth[i] = depth[p] + 1
+    assert max(depth) <= MAX_DEPTH
+
+
+def test_portions():
+    pages = ["x" * n for n in (10, 5, 200, 1, 1, 1)] + [None]
+    b = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(pages)], names=["page_id", "html"])
+    got = [p.column(1).to_pylist() for p in portions(b, 3, 20)]
+    assert got == [pages[:2], pages[2:3], pages[3:6], pages[6:]]
+    assert list(portions(b.slice(0, 0))) == []
