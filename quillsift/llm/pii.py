@@ -1,8 +1,12 @@
-"""Operator 7, personal data: patterns propose spans, checksums confirm them, context words adjust the score."""
+"""Operator 7, personal data: patterns propose spans, checksums confirm them, context words adjust the score.
+
+Kinds: email, secret, iban, card, phone, ssn, ip (v4 and v6).
+"""
 
 from __future__ import annotations
 
 import bisect
+import ipaddress
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,8 +32,8 @@ class Kind:
     #: confirmed the span and none of the former is there.
     near: frozenset[str]
     against: frozenset[str]
-    #: A character that every span of the kind has; texts without any are skipped.
-    needs: str
+    #: Strings of which every text with a span of the kind has one; texts without any are skipped.
+    needs: tuple[str, ...]
 
 
 def luhn(digits: str) -> bool:
@@ -53,16 +57,29 @@ SECRET = re.compile(
     r"(?i)(?<![a-z0-9])(?:api[_-]?key|access[_-]?key|secret|token|passw(?:or)?d|pwd)[\"']?\s{0,3}(?>:=|=>|={1,3}|::?)\s{0,3}"
     r"(?:\"(?P<double>(?:\\.|[^\"\\\n]){12,}+)\"|'(?P<single>(?:\\.|[^'\\\n]){12,}+)'"
     r"|(?:\"(?!(?:\\.|[^\"\\\n])*+\")|'(?!(?:\\.|[^'\\\n])*+')|(?![\"']))(?P<bare>\S{12,}))"
+    r"|(?<![a-z0-9_-])(?P<known>(?-i:A[KS]IA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{22,}|sk-[A-Za-z0-9_-]{20,}|xox[abeoprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}"
+    r"|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]*)?)(?![a-z0-9_-]))"
+    r"|(?<![a-z0-9])bearer\s{1,3}(?P<bearer>[a-z0-9._~+/=-]{16,})"
+    r"|-----BEGIN\ (?P<pem>[A-Z0-9 ]{0,40}PRIVATE\ KEY-----(?:[^-]|-(?!----))*+(?:-----END\ [A-Z0-9 ]{0,40}-----)?)"
 )
+#: A secret needs a name and a sign after it, or is of a known form: cloud, code host and chat keys, signed tokens, bearer
+#: tokens, private keys in PEM (to its end mark, or else to the next dashes).
+SECRET_NEEDS = ("=", ":", "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "sk-", "xox", "AIza", "eyJ", "earer ", "EARER ", "PRIVATE KEY-----")
+DIGITS = tuple("0123456789")
 _W = frozenset
+PHONE = _W("phone tel telephone mobile call fax telefon teléfono téléphone handy móvil".split())
 KINDS = (
-    Kind("email", re.compile(r"(?<![\w.+%-])\w[\w.+%-]{0,63}@(?:[^\W_](?:[\w-]{0,62}[^\W_])?\.){1,8}[^\W\d_]{2,24}(?![\w@-])"), 0.9, _W("email mail contact kontakt correo courriel".split()), _W(), "@"),
-    Kind("secret", SECRET, 0.85, _W("key auth bearer credentials".split()), _W("example placeholder".split()), "=:"),
-    Kind("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])"), 0.2, _W("iban bank account konto compte cuenta".split()), _W(), "0123456789"),
-    Kind("card", re.compile(r"\d+(?:[ -]\d+)*"), 0.2, _W("card visa mastercard amex credit karte carte tarjeta".split()), _W(), "0123456789"),
-    Kind("phone", re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-]|\.\d)"), 0.6, _W("phone tel telephone mobile call fax telefon teléfono téléphone".split()), _W("order isbn invoice version".split()), "0123456789"),
-    Kind("ssn", re.compile(r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])"), 0.55, _W("ssn social security".split()), _W("order part invoice".split()), "0123456789"),
-    Kind("ip", re.compile(r"(?<![\w.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\w]|\.\w)"), 0.6, _W("ip address host server adresse".split()), _W("version release section chapter v".split()), "0123456789"),
+    Kind("email", re.compile(r"(?<![\w.+%-])\w[\w.+%-]{0,63}@(?:[^\W_](?:[\w-]{0,62}[^\W_])?\.){1,8}[^\W\d_]{2,24}(?![\w@-])"), 0.9, _W("email mail contact kontakt correo courriel".split()), _W(), ("@",)),
+    Kind("secret", SECRET, 0.85, _W("key auth bearer credentials".split()), _W("example placeholder".split()), SECRET_NEEDS),
+    # looked ahead at, as a match may run on into the next one
+    Kind("iban", re.compile(r"(?<![A-Za-z0-9])(?=(?P<ahead>[A-Za-z]{2}\d{2}(?: ?[A-Za-z0-9]){11,30}(?![A-Za-z0-9])))"), 0.2, _W("iban bank account konto compte cuenta".split()), _W(), DIGITS),
+    Kind("card", re.compile(r"\d+(?:[ -]\d+)*"), 0.2, _W("card visa mastercard amex credit karte carte tarjeta".split()), _W(), DIGITS),
+    Kind("phone", re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-]|\.\d)"), 0.6, PHONE, _W("order isbn invoice version".split()), DIGITS),
+    # without country code only beside a word that tells
+    Kind("phone", re.compile(r"(?<![\w.,+-])(?:0\d{1,5}[ /-]{1,3}\d{2,8}(?:[ -]\d{2,6}){0,3}|0\d{6,12}|\d{3} \d{3} \d{4})(?![\w-]|[.,]\d)"), 0.3, PHONE, _W("order isbn invoice version".split()), DIGITS),
+    Kind("ssn", re.compile(r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])"), 0.55, _W("ssn social security".split()), _W("order part invoice".split()), DIGITS),
+    Kind("ip", re.compile(r"(?<![\w:.])[0-9A-Fa-f:]{3,39}(?![\w:]|\.\d)"), 0.3, _W("ip ipv6 address host server adresse".split()), _W("version release section chapter v".split()), (":",)),
+    Kind("ip", re.compile(r"(?<![\w.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\w]|\.\w)"), 0.6, _W("ip address host server adresse".split()), _W("version release section chapter v".split()), DIGITS),
 )
 WORD = re.compile(r"\w+")
 GROUP = re.compile(r"\d+")
@@ -80,6 +97,14 @@ IBAN_LENGTHS = {c[:2]: int(c[2:]) for c in (
 ).split()}
 
 
+def _ipv6(span: str) -> bool:
+    try:
+        ipaddress.IPv6Address(span)
+    except ValueError:
+        return False
+    return True
+
+
 def _checked(kind: str, span: str) -> tuple[bool, float]:
     """(passed a checksum, score to add); a failed checksum takes all."""
     if kind == "card":  # _cards proposes none that fails
@@ -87,6 +112,10 @@ def _checked(kind: str, span: str) -> tuple[bool, float]:
     if kind == "iban":
         ok = mod97(span.replace(" ", ""))
         return ok, 0.75 if ok else -1.0
+    if kind == "ip" and ":" in span:
+        # a full address says what it is; short ones ("a::1") need a word beside them
+        groups = sum(map(bool, span.split(":")))
+        return False, -1.0 if groups < 2 or not _ipv6(span) else 0.3 if groups >= 4 else 0.0
     if kind == "phone" and not 7 <= sum(c.isdigit() for c in span) <= 15:
         return False, -1.0
     return False, 0.0
@@ -95,7 +124,7 @@ def _checked(kind: str, span: str) -> tuple[bool, float]:
 def _iban_end(text: str, start: int, end: int) -> int:
     """Where an IBAN of its country's length ends within the span (words in capitals may follow it); start if the
     country is unknown, or the span too short or cut within a word."""
-    left = IBAN_LENGTHS.get(text[start : start + 2], 0)
+    left = IBAN_LENGTHS.get(text[start : start + 2].upper(), 0)
     if not left:
         return start
     for at in range(start, end):
@@ -152,7 +181,7 @@ def _cards(text: str, start: int, end: int) -> list[tuple[int, int]]:
 
 def _proposed(kind: str, text: str, m: re.Match) -> list[tuple[int, int, int]]:
     """(where the context before it ends, start, end) of the spans of a match."""
-    start, end = m.span(m.lastgroup) if kind == "secret" else m.span()
+    start, end = m.span(m.lastgroup or 0)
     if kind == "card":
         return [(a, a, b) for a, b in _cards(text, start, end)]
     if kind == "iban":
@@ -168,7 +197,7 @@ def _within(start: int, end: int, spans: list[tuple[int, int]]) -> bool:
 
 def find(text: str | None, threshold: float = THRESHOLD) -> list[tuple[str, int, int, float, bool]]:
     """(kind, start, end, score, checksum passed) of the spans in a text, by start. Where spans overlap the one of the
-    higher score stays, then the earlier, then the longer; parts of a secret give way to it. Null has none."""
+    higher score stays, then the earlier, then the longer; parts of a secret or an IBAN give way to it. Null has none."""
     if not text:
         return []
     found = []
@@ -183,10 +212,11 @@ def find(text: str | None, threshold: float = THRESHOLD) -> list[tuple[str, int,
             score = min(1.0, k.base + score + RAISE * bool(words & k.near) - LOWER * lower)
             if score >= threshold:
                 found.append((k.name, start, end, round(score, 4), checked))
-    # nothing within a secret may take its place, as the rest of it would stay
-    secrets = [f[1:3] for f in found if f[0] == "secret"]  # in order, apart from each other
-    if secrets:
-        found = [f for f in found if not _within(f[1], f[2], secrets)]
+    # nothing within a secret or an IBAN may take its place, as the rest of it would stay
+    for kind in ("secret", "iban"):
+        whole = [f[1:3] for f in found if f[0] == kind]  # in order, apart from each other
+        if whole:
+            found = [f for f in found if not _within(f[1], f[2], whole)]
     found.sort(key=lambda f: (-f[3], f[1], -f[2]))
     kept: list[tuple[str, int, int, float, bool]] = []  # by start; they don't overlap, so two neighbours decide
     for f in found:
@@ -208,7 +238,7 @@ def redact(text: str | None, threshold: float = THRESHOLD) -> str | None:
 
 
 #: Texts that no pattern can match are not sent to Python.
-MAY_HOLD = r"[0-9@=:]"
+MAY_HOLD = r"[0-9@=:]|A[KS]IA|gh[pousr]_|github_pat_|sk-|xox|AIza|eyJ|(?i:bearer) |PRIVATE KEY-----"
 
 
 def pii_spans(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
