@@ -65,13 +65,13 @@ def format_chats(messages: DataFrame, visitor: PartVisitor = PartVisitor()) -> D
     conv_id: conv_id, n_messages, prompt, attachments (array of struct place, kind, uri, turn, tokens, in order of
     place from 1), text_tokens, attachment_tokens.
 
-    Messages are in order of turn (null last), then role, then content, so that ties and repeated rows, which all
-    stay, have one order. A placeholder reads <|image_3|>: kind and place among the attachments of the conversation.
+    Messages are in order of turn (null last), then role, then a hash of the content and the content as shown, so that
+    ties and repeated rows, which all stay, have one order. A placeholder reads <|image_3|>: kind and place among the attachments of the conversation.
     A null conv_id is a conversation of its own. A null role is 'unknown'; null, empty or all-null parts give an empty
     message. Parts are joined by line breaks. An empty table gives no rows.
     """
     m = messages.select(
-        "conv_id", F.struct(F.col("turn").isNull().alias("a"), F.col("turn").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.to_json(F.struct("parts")).alias("c")).alias("at"),
+        "conv_id", F.struct(F.col("turn").isNull().alias("a"), F.col("turn").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.xxhash64(F.to_json(F.struct("parts"))).alias("c")).alias("at"),
         F.coalesce(F.filter("parts", lambda p: p.isNotNull()), F.array().cast(f"array<{PART}>")).alias("parts"),
     )
     found = m.select("conv_id", "at", F.transform("parts", lambda p: F.struct(*(c.alias(n) for c, n in zip(visitor.visit(p), ("att", "shown", "tokens"))), p["uri"].alias("uri"))).alias("parts"))

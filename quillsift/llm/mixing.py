@@ -8,13 +8,10 @@ of the corpus; one pass over the documents makes that table.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import est_tokens, free, written
+from quillsift.llm.common import BROADCAST_BYTES, discard, est_tokens, free, join_hot, maybe_broadcast, written
 
 #: The natural token share of a source is raised to this power and scaled to 1 for its target weight.
 TEMPERATURE = 0.8
@@ -25,57 +22,69 @@ def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source), F.lit("?"))
 
 
-def targets(totals: dict[str, int], weights: dict[str, float] | None = None, temperature: float = TEMPERATURE) -> dict[str, float]:
-    """Tokens to take of each source. weights: of the sources; those not named get 0; by default tempered shares.
-    The budget is the least at which no source with a weight has to shrink, so every document is taken once at
-    least; a source of weight 0 is left out and one without tokens is taken as it is."""
-    full = {s: t for s, t in totals.items() if t > 0}
-    raw = {s: (t / sum(full.values())) ** temperature for s, t in full.items()} if weights is None else {s: float(weights.get(s, 0)) for s in full}
-    share = {s: r / sum(raw.values()) for s, r in raw.items() if r > 0}
-    budget = max((full[s] / p for s, p in share.items()), default=0.0)
-    return {s: share.get(s, 0.0) * budget for s in full}
+def goals(totals: DataFrame, weights: DataFrame | None, temperature: float) -> DataFrame:
+    """totals (src, full tokens, ...) with goal, the tokens to take of each source. weights (src, weight): sources not
+    named get 0; by default tempered shares. The budget is the least at which no source with a weight has to shrink,
+    so every document is taken once at least; a source of weight 0 is left out and one without tokens is taken as
+    it is."""
+    some = F.col("full") > 0
+    if weights is None:
+        whole = totals.agg(F.sum("full")).first()[0] or 1
+        t = totals.withColumn("raw", F.when(some, F.pow(F.col("full") / F.lit(whole), F.lit(temperature))).otherwise(0.0))
+    else:
+        t = totals.join(weights, "src", "left").withColumn("raw", F.when(some, F.coalesce("weight", F.lit(0.0))).otherwise(0.0)).drop("weight")
+    parts = t.agg(F.sum("raw")).first()[0] or 1.0
+    t = t.withColumn("share", F.col("raw") / F.lit(parts))
+    budget = t.where("share > 0").agg(F.max(F.col("full") / F.col("share"))).first()[0] or 0.0
+    return t.withColumn("goal", F.col("share") * F.lit(budget)).drop("raw", "share")
 
 
-def solve(hist: DataFrame, totals: dict[str, tuple[int, int]], goal: dict[str, float], steps: int = 100, tolerance: float = 1e-12) -> dict[str, float]:
-    """lambda of each source, per token. hist: src, tokens, n; totals: largest and summed tokens of each source.
+def solve(hist: DataFrame, totals: DataFrame, steps: int = 100, tolerance: float = 1e-12) -> DataFrame:
+    """totals (src, docs, full, longest, goal) with lam, the multiplier of each source, per token. hist: src, tokens, n.
 
-    Newton from 0 on sum(n * tokens * exp(lambda * tokens)) = goal. That is convex and rising in lambda, so a step
+    Newton from 0 on sum(n * tokens * exp(lam * tokens)) = goal. That is convex and rising in lam, so a step
     from the right of the root stays right of it; a first step from the left may overshoot and is cut to where the
-    longest document alone would meet the goal. Sources are independent: the Hessian of the dual is diagonal.
+    longest document alone would meet the goal. Sources are independent: the Hessian of the dual is diagonal. Each step
+    is one aggregation; the multipliers stay in a table, however many sources there are. An error if some source is
+    not within tolerance after so many steps.
     """
-    lam = {s: 0.0 for s, g in goal.items() if g > 0}
-    top = {s: max(0.0, math.log(goal[s] / totals[s][0])) / totals[s][0] for s in lam}
-    open_ = {s for s in lam if abs(goal[s] / totals[s][1] - 1) > tolerance}
-    for _ in range(steps):
-        if not open_:
-            break
-        at = F.create_map(*(x for s in sorted(open_) for x in (F.lit(s), F.lit(lam[s]))))
-        e = F.col("n") * F.exp(at[F.col("src")] * F.col("tokens")) * F.col("tokens")
-        for s, g, h in hist.where(F.col("src").isin(*open_)).groupBy("src").agg(F.sum(e), F.sum(e * F.col("tokens"))).collect():
-            # Newton on the logarithm, which is nearly straight, halves the number of steps
-            step = math.log(goal[s] / g) * g / h
-            lam[s] = min(lam[s] + step, top[s]) if step > 0 else lam[s] + step
-            if abs(g / goal[s] - 1) <= tolerance:
-                open_.discard(s)
-    return lam
-
-
-def _rate(docs: DataFrame, weights: dict[str, float] | None, temperature: float) -> Callable[[Column, Column], Column]:
-    """The rate as a function of source and tokens, solved for docs."""
+    top = F.greatest(F.lit(0.0), F.log(F.col("goal") / F.col("longest"))) / F.col("longest")
+    state = totals.withColumn("lam", F.lit(0.0)).withColumn("off", F.when(F.col("goal") > 0, F.abs(F.col("full") / F.col("goal") - 1)).otherwise(0.0))
+    state = written(state, "multipliers")
+    n = state.count()
+    for step in range(steps + 1):
+        worst = state.agg(F.max("off")).first()[0]
+        if worst is None or worst <= tolerance:
+            return state.drop("off")
+        if step == steps:
+            raise RuntimeError(f"no multipliers after {steps} steps: some source is off its goal by a share of {worst:.3g}")
+        left = state.where(F.col("off") > tolerance).select("src", "lam")
+        e = F.col("n") * F.exp(F.col("lam") * F.col("tokens")) * F.col("tokens")
+        now = hist.join(maybe_broadcast(left, n, 96), "src").groupBy("src").agg(F.sum(e).alias("g"), F.sum(e * F.col("tokens")).alias("h"))
+        # Newton on the logarithm, which is nearly straight, halves the number of steps
+        by = F.log(F.col("goal") / F.col("g")) * F.col("g") / F.col("h")
+        moved = F.when(by > 0, F.least(F.col("lam") + by, top)).otherwise(F.col("lam") + by)
+        after = state.join(now, "src", "left")
+        after = after.withColumns({"lam": F.when(F.col("g").isNotNull(), moved).otherwise(F.col("lam")), "off": F.when(F.col("g").isNotNull(), F.abs(F.col("g") / F.col("goal") - 1)).otherwise(F.col("off"))})
+        before, state = state, written(after.drop("g", "h"), "multipliers")
+        discard(before)
+
+
+def _rated(docs: DataFrame, weights: dict[str, float] | None, temperature: float, rate: str) -> DataFrame:
+    """docs with the column rate, and the tokens that it is based on in a last column."""
     hist = docs.select(source_key(F.col("source")).alias("src"), est_tokens(F.col("text")).alias("tokens")).groupBy("src", "tokens").agg(F.count("*").alias("n"))
     hist = written(hist, "length-histogram")
-    sums = {r[0]: (r[1], r[2]) for r in hist.groupBy("src").agg(F.max("tokens"), F.sum(F.col("n") * F.col("tokens"))).collect()}
-    keyed = None if weights is None else {"=" + s: w for s, w in weights.items()}
-    goal = targets({s: t for s, (_, t) in sums.items()}, keyed, temperature)
-    lam = solve(hist, sums, goal)
-    dropped = [s for s, g in goal.items() if g == 0]
-
-    def of(source: Column, tokens: Column) -> Column:
-        src = source_key(source)
-        rate = F.exp(F.coalesce(F.create_map(*(x for s in sorted(lam) for x in (F.lit(s), F.lit(lam[s]))))[src], F.lit(0.0)) * tokens) if lam else F.lit(1.0)
-        return F.when(src.isin(*dropped) & (tokens > 0), F.lit(0.0)).otherwise(rate) if dropped else rate
-
-    return of
+    totals = written(hist.groupBy("src").agg(F.sum("n").alias("docs"), F.sum(F.col("n") * F.col("tokens")).alias("full"), F.max("tokens").alias("longest")), "source-totals")
+    given = None if weights is None else docs.sparkSession.createDataFrame([("=" + s, float(w)) for s, w in weights.items()], "src string, weight double")
+    src, lam, tokens = free(docs, "src", "lam", "rated_tokens")
+    found = solve(hist, goals(totals, given, temperature))
+    found = written(found.select(F.col("src").alias(src), F.when((F.col("goal") > 0) | (F.col("full") == 0), F.col("lam")).alias(lam), "docs"), "source-multipliers")
+    rows = docs.select("*", source_key(F.col("source")).alias(src), est_tokens(F.col("text")).alias(tokens))
+    n = found.count()
+    # sources too many to be sent about are joined by shuffle, but for those of many documents
+    joined = rows.join(F.broadcast(found.drop("docs")), src, "left") if n * 128 <= BROADCAST_BYTES else join_hot(rows, found, src, "docs")
+    value = F.when(F.col(tokens) == 0, F.lit(1.0)).otherwise(F.coalesce(F.exp(F.col(lam) * F.col(tokens)), F.lit(0.0)))
+    return joined.select(*(joined[c] for c in docs.columns), value.alias(rate), F.col(tokens))
 
 
 def draw(doc_id: Column, text: Column) -> Column:
@@ -90,15 +99,16 @@ def mix_rates(docs: DataFrame, weights: dict[str, float] | None = None, temperat
     that is null): repeated rows get equal copies. Null and empty texts have 0 tokens and rate 1. An empty table gives
     no rows.
     """
-    rate = _rate(docs, weights, temperature)
-    d = docs.select("doc_id", "source", est_tokens(F.col("text")).alias("n_tokens"), draw(F.col("doc_id"), F.col("text")).alias("u"))
-    d = d.select("doc_id", "source", "n_tokens", rate(F.col("source"), F.col("n_tokens")).alias("rate"), "u")
-    return d.select("doc_id", "source", "n_tokens", F.round("rate", 6).alias("rate"), F.floor(F.col("rate") + F.col("u")).cast("long").alias("copies"))
+    d = docs.select("doc_id", "source", "text")
+    d = _rated(d, weights, temperature, "rate")
+    copies = F.floor(F.col("rate") + draw(F.col("doc_id"), F.col("text"))).cast("long")
+    return d.select("doc_id", "source", F.col("rated_tokens").alias("n_tokens"), F.round("rate", 6).alias("rate"), copies.alias("copies"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE) -> DataFrame:
-    """docs, all columns, each row as often as mix_rates() has copies of it. A narrow step: no shuffle of texts."""
-    rate = _rate(docs, weights, temperature)
-    copies = F.floor(rate(F.col("source"), est_tokens(F.col("text"))) + draw(F.col("doc_id"), F.col("text"))).cast("int")
-    i, = free(docs, "i")
-    return docs.select(*(docs[c] for c in docs.columns), F.explode(F.array_repeat(F.lit(1), copies)).alias(i)).drop(i)
+    """docs, all columns, each row as often as mix_rates() has copies of it. A narrow step, without a shuffle of texts,
+    unless there are more sources than may be broadcast."""
+    rate, i = free(docs, "rate", "i")
+    d = _rated(docs, weights, temperature, rate)
+    copies = F.floor(F.col(rate) + draw(d["doc_id"], d["text"])).cast("int")
+    return d.select(*(d[c] for c in docs.columns), F.explode(F.array_repeat(F.lit(1), copies)).alias(i)).drop(i)

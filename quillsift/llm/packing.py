@@ -121,7 +121,8 @@ class Bins:
 def pack_shard(docs: pd.DataFrame, capacity: int) -> pd.DataFrame:
     """Packs rows (doc_id, src, cluster, n_tokens). A document of more than capacity tokens fills bins of its own with
     its full pieces; the rest is packed like a document."""
-    d = docs.sort_values(["doc_id", "src", "cluster"], kind="stable", na_position="last")
+    # rows that are equal in all of these are interchangeable
+    d = docs.sort_values(["doc_id", "src", "cluster", "n_tokens"], kind="stable", na_position="last")
     rest = d["n_tokens"] % capacity
     d = d.iloc[(-rest).argsort(kind="stable")]
     source = {s: i for i, s in enumerate(pd.unique(d["src"]))}

@@ -1,7 +1,7 @@
 """Operator 5, quality classifier: regularised quadratic discriminant analysis over document statistics.
 
-Everything runs as column expressions: the statistics, the class moments (one aggregation over every labelled row)
-and the scores. Only two small matrices reach the driver, whose Cholesky factors become constants of the plan.
+Everything runs as column expressions: the statistics, the class moments (one aggregation over the labelled rows) and
+the scores. Only two small matrices reach the driver, whose Cholesky factors become constants of the plan.
 """
 
 from __future__ import annotations
@@ -12,8 +12,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import written
+from quillsift.llm.common import maybe_broadcast, written
 
+#: Labelled rows that training uses at most, about.
+TRAIN_ROWS = 50_000
 FEATURES = ("log_words", "upper", "symbols", "variety", "word_chars", "stops")
 
 
@@ -60,11 +62,25 @@ class QDA:
         return logs[1] - logs[0]
 
 
-def train(docs: DataFrame, labels: DataFrame, shrink: float = 0.3, ridge: float = 0.1) -> QDA | None:
-    """Fits on every labelled document (labels: doc_id, quality 0/1; null qualities are left out, several labels of a
-    document all count). A class covariance is (1 - shrink) of its own and shrink of the pooled one, then ridge of it
-    is replaced by its mean variance, variable by variable scaled. None if a class has no row."""
-    return fit(statistics(docs), labels, shrink, ridge)
+def train(docs: DataFrame, labels: DataFrame, shrink: float = 0.3, ridge: float = 0.1, train_rows: int = TRAIN_ROWS) -> QDA | None:
+    """Fits on the labelled documents (labels: doc_id, quality 0/1; null qualities are left out, several labels of a
+    document all count). If there are more than train_rows labels, about so many are used, those with the least hashes
+    of their doc_id: the ids are then few enough to be sent to every executor, so no text is moved and statistics are
+    worked out for those documents alone. A class covariance is (1 - shrink) of its own and shrink of the pooled one,
+    then ridge of it is replaced by its mean variance, variable by variable scaled. None if a class has no row."""
+    y, n = _sample(labels, train_rows)
+    ids = y.select(F.col("doc_id").alias("_labelled")).distinct()
+    some = docs.join(maybe_broadcast(ids, n, 32), docs["doc_id"] == F.col("_labelled"), "left_semi")
+    return fit(some.select("doc_id", features(F.col("text")).alias("x")), y, shrink, ridge)
+
+
+def _sample(labels: DataFrame, train_rows: int) -> tuple[DataFrame, int]:
+    """(doc_id, quality) of the labels to train on, and how many there are or are expected to be."""
+    y = labels.where("quality is not null").select(F.col("doc_id"), F.col("quality").cast("int").alias("quality"))
+    n = y.count()
+    if n <= train_rows:
+        return y, n
+    return y.where(F.xxhash64("doc_id") < F.lit(int(-(1 << 63) + train_rows / n * (1 << 64)))), train_rows
 
 
 def statistics(docs: DataFrame) -> DataFrame:
@@ -72,9 +88,8 @@ def statistics(docs: DataFrame) -> DataFrame:
     return written(docs.select("doc_id", features(F.col("text")).alias("x")), "quality-statistics")
 
 
-def fit(x: DataFrame, labels: DataFrame, shrink: float, ridge: float) -> QDA | None:
-    """train(), from statistics()."""
-    y = labels.where("quality is not null").select(F.col("doc_id"), F.col("quality").cast("int").alias("quality"))
+def fit(x: DataFrame, y: DataFrame, shrink: float, ridge: float) -> QDA | None:
+    """train(), from statistics and the labels to use."""
     d = len(FEATURES)
     v = [F.col("x")[i] for i in range(d)]
     sums = [F.sum(c) for c in v] + [F.sum(v[i] * v[j]) for i in range(d) for j in range(i + 1)]
@@ -100,19 +115,20 @@ def fit(x: DataFrame, labels: DataFrame, shrink: float, ridge: float) -> QDA | N
     return QDA(means, np.array(chols), np.array(inverses), np.array(constants))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.0, shrink: float = 0.3, ridge: float = 0.1) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.0, shrink: float = 0.3, ridge: float = 0.1, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """Operator 5: doc_id, score (to 4 digits), keep for every row of docs. keep is score >= threshold. Null and empty texts are
     scored as ''. If labels lack one of the classes nothing can be judged: score is null and keep true."""
     x = statistics(docs)
-    model = fit(x, labels, shrink, ridge)
+    y, n = _sample(labels, train_rows)
+    model = fit(x, maybe_broadcast(y, n, 32), shrink, ridge)
     score = F.lit(None).cast("double") if model is None else model.score([F.col("x")[i] for i in range(len(FEATURES))])
     scored = x.select("doc_id", score.alias("score"))
     return scored.select("doc_id", F.round("score", 4).alias("score"), F.coalesce(F.col("score") >= threshold, F.lit(True)).alias("keep"))
 
 
-def drop_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.0, shrink: float = 0.3, ridge: float = 0.1) -> DataFrame:
+def drop_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.0, shrink: float = 0.3, ridge: float = 0.1, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """docs, all columns, without the rows that quality_scores() would not keep. A narrow filter: no shuffle of texts."""
-    model = train(docs, labels, shrink, ridge)
+    model = train(docs, labels, shrink, ridge, train_rows)
     if model is None:
         return docs
     # transform() binds the statistics, so that they are worked out once and not in each term of the score

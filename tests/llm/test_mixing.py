@@ -5,7 +5,8 @@ import random
 
 import pytest
 
-from quillsift.llm.mixing import mix, mix_rates, targets
+from quillsift.llm import mixing
+from quillsift.llm.mixing import mix, mix_rates, solve
 
 from .conftest import docs_frame
 
@@ -15,6 +16,12 @@ def corpus(spark, seed=1, n=3000):
     return docs_frame(spark, [(i, "x" * int(math.exp(r.gauss(6, 1))), r.choice(["hot"] * 6 + ["a", "b", "c", None])) for i in range(n)])
 
 
+def targets(totals, temperature=0.8):
+    share = {s: (t / sum(totals.values())) ** temperature for s, t in totals.items()}
+    share = {s: x / sum(share.values()) for s, x in share.items()}
+    return {s: x * max(t / share[k] for k, t in totals.items()) for s, x in share.items()}
+
+
 def test_rates_meet_the_targets_and_are_exponential(spark):
     docs = corpus(spark)
     rows = mix_rates(docs).collect()
@@ -57,3 +64,21 @@ def test_odd_documents(spark, odd_docs, no_docs):
     assert mix_rates(no_docs).count() == 0 and mix(no_docs).count() == 0
     empty = docs_frame(spark, [(1, None, "a"), (2, "", None)])
     assert [r.copies for r in mix_rates(empty).collect()] == [1, 1]
+
+
+def test_many_sources_by_shuffle(spark, monkeypatch):
+    """Sources too many to be broadcast: the same rates as with all of them sent about."""
+    docs = corpus(spark, 4, 600)
+    want = sorted(mix_rates(docs).collect())
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", 0)
+    assert sorted(mix_rates(docs).collect()) == want
+    assert mix(docs).count() == sum(r.copies for r in want)
+
+
+def test_no_result_without_convergence(spark):
+    hist = spark.createDataFrame([("=a", 10, 5), ("=a", 400, 2)], "src string, tokens long, n long")
+    totals = spark.createDataFrame([("=a", 7, 850, 400, 1700.0)], "src string, docs long, full long, longest long, goal double")
+    (r,) = solve(hist, totals).collect()
+    assert 50 * math.exp(10 * r.lam) + 800 * math.exp(400 * r.lam) == pytest.approx(1700)
+    with pytest.raises(RuntimeError, match="no multipliers after 2 steps"):
+        solve(hist, totals, steps=2)

@@ -92,3 +92,11 @@ def test_near_copies_never_share_a_bin(spark, tmp_path):
     of = [base[0] if i != i else name[int(i)] for i in out.doc_id]
     assert not out.assign(of=of).duplicated(["shard", "bin", "of"]).any()
     assert out.bin.nunique() < len(out)
+
+
+def test_rows_that_differ_in_length_alone():
+    rows = [("1", "=a", "c", n) for n in (40, 140, 240, 340)]
+    want = pack_shard(pd.DataFrame(rows, columns=["doc_id", "src", "cluster", "n_tokens"]), 100)
+    for order in ([3, 1, 0, 2], [2, 3, 1, 0]):
+        got = pack_shard(pd.DataFrame([rows[i] for i in order], columns=["doc_id", "src", "cluster", "n_tokens"]), 100)
+        assert got.equals(want)

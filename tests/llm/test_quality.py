@@ -53,3 +53,13 @@ def test_odd_documents(tables, odd_docs, no_docs):
     kept = drop_low_quality(odd_docs, both)
     assert kept.count() == sum(r.keep for r in s) and kept.columns == odd_docs.columns
     assert quality_scores(no_docs, both).count() == 0 and drop_low_quality(no_docs, both).count() == 0
+
+
+def test_training_on_a_bounded_sample(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    every = {r.doc_id: r.score for r in quality_scores(docs, labels).collect()}
+    some = {r.doc_id: (r.score, r.keep) for r in quality_scores(docs, labels, train_rows=200).collect()}
+    assert len(some) == len(every) and {i: s for i, (s, _) in some.items()} != every
+    assert {r.doc_id for r in drop_low_quality(docs, labels, train_rows=200).collect()} == {i for i, (_, keep) in some.items() if keep}
+    assert sum(some[i][1] == (s >= 0) for i, s in every.items()) >= 0.97 * len(every)
