@@ -38,12 +38,18 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    """The documents by id. What follows works document by document: this is the one shuffle of texts, shared by all
+    that starts from it, and chunks, words and vectors are joined and ranked where they arise."""
+    return _t(spark, d, "documents").select("doc_id", "text").repartition("doc_id")
+
+
 def _lines(spark: SparkSession, d: str) -> DataFrame:
-    return split.line_chunks(_t(spark, d, "documents"))
+    return split.line_chunks(_docs(spark, d))
 
 
 def _cases(spark: SparkSession, d: str) -> DataFrame:
-    docs = _t(spark, d, "documents")
+    docs = _docs(spark, d)
     return docs.select(F.col("doc_id").alias("query_id"), "doc_id", F.element_at(T.line_chunks(F.col("text")), 1).alias("query_text"))
 
 
@@ -283,8 +289,8 @@ ranked as (select *, first[3] as chunk_index, row_number() over (partition by qu
 @query(f"with {DENSE}, {_bm25('okapi')}, {FUSED.format(dense='(select * from dense where rank <= 5)', sparse='(select * from bm25 where rank <= 5)')} select query_id, doc_id, chunk_index, chunk_text, round(score, 9) as score, rank from ranked")
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     texts = _lines(spark, d)
-    a = dense.nearest_in_scope(_scope(spark, d), _chunks(spark, d), 5).join(texts, ["doc_id", "chunk_index"])
-    b = lexical.bm25(_cases(spark, d), texts, 5).join(texts, ["doc_id", "chunk_index"])
+    a = dense.nearest_in_scope(_scope(spark, d), _chunks(spark, d), 5)
+    b = lexical.bm25(_cases(spark, d), texts, 5)
     return fusion.rrf(a, b, ["query_id", "doc_id"]).select("query_id", "doc_id", "chunk_index", "chunk_text", F.round("score", 9).alias("score"), "rank")
 
 
@@ -307,7 +313,7 @@ mmr as (select query_id, doc_id, chunk_index, rank from (select query_id, doc_id
 
 @query(f"with recursive {DENSE}, {MMR} select query_id, doc_id, chunk_index, rank::integer as rank from mmr")
 def mmr_select(spark: SparkSession, d: str) -> DataFrame:
-    return dense.mmr(_scope(spark, d), _chunks(spark, d))
+    return dense.mmr(_scope(spark, d), _chunks(spark, d)).drop("chunk_text")
 
 
 def _expand(seeds: str) -> str:
@@ -328,7 +334,7 @@ passages as (select w.query_id, w.doc_id, w.emit_order, any_value(w.ix) as ix, s
 @query(f"with recursive {LINES}, {CASES}, {_bm25('okapi')}, {_expand('(select * from bm25 where rank <= 5)')} select query_id, doc_id, emit_order, array_to_string(ix, ',') as chunk_indices, passage from passages")
 def neighbour_expand(spark: SparkSession, d: str) -> DataFrame:
     lines = _lines(spark, d)
-    seeds = lexical.bm25(_cases(spark, d), lines, 5).join(lines, ["doc_id", "chunk_index"])
+    seeds = lexical.bm25(_cases(spark, d), lines, 5)
     p = fusion.expand_neighbours(seeds, lines, ["query_id", "doc_id"])
     return p.select("query_id", "doc_id", "emit_order", F.array_join(F.transform("chunk_indices", lambda i: i.cast("string")), ",").alias("chunk_indices"), "passage")
 
@@ -384,7 +390,7 @@ s as (select *, round(1 / (1 + exp(-(6 * (len(list_intersect(q, p)) / greatest(1
 select query_id, chunk_index, score, new_rank as rank from (select query_id, chunk_index, score, row_number() over (partition by query_id order by score desc, rank) as new_rank from s) where new_rank <= 3""")
 def rerank_topk(spark: SparkSession, d: str) -> DataFrame:
     lines, cases = _lines(spark, d), _cases(spark, d)
-    cand = lexical.bm25(cases, lines, 5).join(lines, ["doc_id", "chunk_index"]).join(cases.select("query_id", "query_text"), "query_id")
+    cand = lexical.bm25(cases, lines, 5).join(cases.select("query_id", "query_text"), "query_id")
     return rr.rerank(cand.withColumnRenamed("chunk_text", "passage").drop("score"), LexicalReranker(), 3).select("query_id", "chunk_index", "score", "rank")
 
 

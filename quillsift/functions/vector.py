@@ -24,7 +24,9 @@ def l2_normalize(v: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (norm(a) * norm(b))
+    """0 where either vector is zero; null where either is null."""
+    length = norm(a) * norm(b)
+    return F.when(length == 0, F.lit(0.0)).otherwise(dot(a, b) / length)
 
 
 def l2_distance2(a: Column, b: Column) -> Column:

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillsift.functions.vector import cosine, dot, l2_distance2
+from quillsift.functions.vector import l2_distance2
+from quillsift.sources.scratch import written
 
-#: Query vectors of up to this many bytes go to every task; more are joined.
-QUERY_BYTES = 64 << 20
+#: Bytes of query vectors that go to every task at a time, and scores that a task holds at a time.
+QUERY_BYTES, SCORES = 32 << 20, 1 << 22
 
 
 def _ranked(scored: DataFrame, keys: list[str], item: str, k: int | Column) -> DataFrame:
@@ -20,47 +22,97 @@ def _ranked(scored: DataFrame, keys: list[str], item: str, k: int | Column) -> D
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _usable(v: object) -> bool:
+    return v is not None and len(v) > 0 and not any(x is None or x != x for x in v)
+
+
+def _scores(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
+    if metric == "l2":
+        s = -((q**2).sum(1)[:, None] - 2 * (q @ v.T) + (v**2).sum(1)[None, :])
+    elif metric == "dot":
+        n = min(q.shape[1], v.shape[1])
+        s = q[:, :n] @ v[:, :n].T
+    else:
+        length = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :]
+        s = np.divide(q @ v.T, length, out=np.zeros_like(length), where=length > 0)
+    return np.round(s, 9) + 0.0
+
+
+class _Best:
+    """The k best items of each of n queries so far."""
+
+    def __init__(self, n: int, k: int) -> None:
+        self.k, self.floor = k, np.full(n, -np.inf)
+        self.q, self.s, self.item = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object)
+
+    def add(self, q: np.ndarray, s: np.ndarray, item: np.ndarray) -> None:
+        self.q, self.s, self.item = np.concatenate([self.q, q]), np.concatenate([self.s, s]), np.concatenate([self.item, item])
+        order = np.lexsort((pd.factorize(self.item, sort=True)[0], -self.s, self.q))
+        q = self.q[order]
+        start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+        place = np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)]))
+        kept = order[place < self.k]
+        full = q[place == self.k - 1]
+        self.floor[full] = self.s[order[place == self.k - 1]]
+        self.q, self.s, self.item = self.q[kept], self.s[kept], self.item[kept]
+
+
 def top_k(queries: DataFrame, items: DataFrame, k: int, metric: str = "dot", item: str = "doc_id") -> DataFrame:
     """query_id, item, score, rank: for each query (query_id, query_vec) the k best of all items (item, vec).
 
     Scores (dot, cosine, or l2: the negative squared distance) are rounded to 9 digits and ties go to the lesser item.
-    The items are read once: each task scores its batches against all queries by one matrix product and passes on no
-    more than k rows a query, so that the final ranking shuffles tasks * queries * k rows and not all pairs. Where the
-    queries are too many for that, all pairs are formed by a join. An empty side gives no rows.
+    The queries are taken in blocks of QUERY_BYTES, one pass over the items for each: a task scores its batches against
+    the block by matrix products, SCORES at a time, and passes on no more than k rows a query, so that the final ranking
+    shuffles tasks * queries * k rows and not all pairs. An empty side gives no rows; nor do null and empty vectors and
+    those with a null or NaN part. A zero vector has cosine 0 with all. Vectors of different lengths are compared by
+    dot alone, over the shorter length.
     """
-    kind = items.schema[item].dataType.simpleString()
-    n, dim = queries.agg(F.count("*"), F.max(F.size("query_vec"))).first()
-    if n * max(dim or 0, 1) * 8 > QUERY_BYTES:
-        score = {"dot": dot, "cosine": cosine, "l2": lambda a, b: -l2_distance2(a, b)}[metric]
-        pairs = queries.crossJoin(items.select(item, "vec"))
-        return _ranked(pairs.select("query_id", item, F.round(score(F.col("query_vec"), F.col("vec")), 9).alias("score")), ["query_id"], item, k)
-    rows = queries.select("query_id", "query_vec").collect()
-    qid = [r[0] for r in rows]
-    qkind = queries.schema["query_id"].dataType.simpleString()
-    q = np.array([r[1] for r in rows], np.float64).reshape(len(rows), dim or 0)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best_s, best_i = np.empty((len(qid), 0)), np.empty((len(qid), 0), object)
-        for b in batches:
-            if not len(b) or not len(qid):
-                continue
-            v = np.stack(b["vec"].to_numpy()).astype(np.float64)
-            if metric == "l2":
-                s = -((q**2).sum(1)[:, None] - 2 * (q @ v.T) + (v**2).sum(1)[None, :])
-            else:
-                s = q @ v.T
-                if metric == "cosine":
-                    s = s / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :])
-            s = np.concatenate([best_s, np.round(s, 9) + 0.0], axis=1)
-            ids = np.concatenate([best_i, np.broadcast_to(b[item].to_numpy(object), (len(qid), len(b)))], axis=1)
-            order = np.stack([np.lexsort((ids[r], -s[r]))[:k] for r in range(len(qid))])
-            best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(ids, order, 1)
-        m = best_s.shape[1]
-        if m:
-            yield pd.DataFrame({"query_id": np.repeat(np.array(qid, object), m), item: best_i.ravel(), "score": best_s.ravel()})
-
-    part = items.select(item, "vec").mapInPandas(run, f"query_id {qkind}, `{item}` {kind}, score double")
-    return _ranked(part, ["query_id"], item, k)
+    kind, qkind = items.schema[item].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    q = queries.select("query_id", F.col("query_vec").cast("array<double>").alias("v")).where(F.size("v") > 0)
+    size = q.agg(F.sum(F.size("v"))).first()[0] or 0
+    blocks = max(1, -(-size * 8 // QUERY_BYTES))
+    if blocks > 1:
+        q = written(q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))), "queries")
+    item_vecs = items.select(item, F.col("vec").cast("array<double>").alias("vec")).where(F.size("vec") > 0)
+
+    def scored(rows: list) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        rows = [r for r in rows if _usable(r[1])]
+        qid = np.array([r[0] for r in rows], object)
+        groups = {n: np.array([i for i, r in enumerate(rows) if len(r[1]) == n]) for n in {len(r[1]) for r in rows}}
+        vecs = {n: np.array([rows[i][1] for i in at], np.float64) for n, at in groups.items()}
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best = _Best(len(qid), k)
+            for b in batches:
+                if not len(qid):
+                    continue
+                good = [i for i, v in enumerate(b["vec"]) if _usable(v)]
+                sizes = np.array([len(b["vec"].iloc[i]) for i in good])
+                for m in set(sizes.tolist()):
+                    at = np.array(good)[sizes == m]
+                    v, ids = np.array(b["vec"].iloc[at].tolist(), np.float64), b[item].to_numpy(object)[at]
+                    for n, mine in groups.items():
+                        if n != m and metric != "dot":
+                            continue
+                        step = max(1, SCORES // len(v))
+                        for x in range(0, len(mine), step):
+                            part = mine[x : x + step]
+                            s = _scores(vecs[n][x : x + step], v, metric)
+                            i, j = np.nonzero(s >= best.floor[part][:, None])
+                            if len(i):
+                                best.add(part[i], s[i, j], ids[j])
+            if len(best.q):
+                yield pd.DataFrame({"query_id": qid[best.q], item: best.item, "score": best.s})
+
+        return run
+
+    parts = []
+    for block in range(blocks):
+        rows = (q if blocks == 1 else q.where(F.col("block") == block)).select("query_id", "v").collect()
+        part = item_vecs.mapInPandas(scored(rows), f"query_id {qkind}, `{item}` {kind}, score double")
+        # the driver holds the queries of one block at a time
+        parts.append(part if blocks == 1 else written(part, "best-of-block"))
+    return _ranked(functools.reduce(DataFrame.union, parts), ["query_id"], item, k)
 
 
 def route(queries: DataFrame, catalog: DataFrame, top_c: int = 5) -> DataFrame:
@@ -70,10 +122,11 @@ def route(queries: DataFrame, catalog: DataFrame, top_c: int = 5) -> DataFrame:
 
 
 def nearest_in_scope(scope: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """scope: query_id, doc_id, query_vec; chunks: doc_id, chunk_index, embedding. The k chunks of each (query, doc)
-    nearest by squared distance: query_id, doc_id, chunk_index, score (its negative), rank."""
-    j = scope.join(chunks.select("doc_id", "chunk_index", "embedding"), "doc_id")
-    s = j.select("query_id", "doc_id", "chunk_index", F.round(-l2_distance2(F.col("query_vec"), F.col("embedding")), 9).alias("score"))
+    """scope: query_id, doc_id, query_vec; chunks: doc_id, chunk_index, embedding, and more. The k chunks of each (query,
+    doc) nearest by squared distance: query_id, query_vec, the columns of chunks, score (its negative), rank. The
+    embeddings come along, so that whoever needs them does not work them out again."""
+    j = scope.select("query_id", "doc_id", "query_vec").join(chunks, "doc_id")
+    s = j.withColumn("score", F.round(-l2_distance2(F.col("query_vec"), F.col("embedding")), 9))
     return _ranked(s, ["query_id", "doc_id"], "chunk_index", k)
 
 
@@ -98,16 +151,17 @@ def mmr_order(query: np.ndarray, vecs: np.ndarray, k: int, lam: float) -> list[i
 
 
 def mmr(scope: DataFrame, chunks: DataFrame, k: int = 5, lam: float = 0.8, fetch_k: int = 20) -> DataFrame:
-    """MMR over the fetch_k nearest chunks of each (query, doc): query_id, doc_id, chunk_index, rank from 1."""
+    """MMR over the fetch_k nearest chunks of each (query, doc): query_id, doc_id, the columns of chunks but embedding,
+    rank from 1."""
     near = nearest_in_scope(scope, chunks, fetch_k)
-    near = near.join(chunks.select("doc_id", "chunk_index", "embedding"), ["doc_id", "chunk_index"])
-    g = near.groupBy("query_id", "doc_id").agg(F.sort_array(F.collect_list(F.struct("rank", "chunk_index", "embedding"))).alias("c"))
-    g = g.join(scope.select("query_id", "doc_id", "query_vec"), ["query_id", "doc_id"])
+    more = [c for c in chunks.columns if c not in ("doc_id", "embedding")]
+    found = F.sort_array(F.collect_list(F.struct("rank", *more, "embedding"))).alias("c")
+    g = near.groupBy("query_id", "doc_id").agg(F.first("query_vec").alias("query_vec"), found)
 
     @F.pandas_udf("array<int>")
     def pick(q: pd.Series, vecs: pd.Series) -> pd.Series:
         return pd.Series([mmr_order(np.asarray(a, float), np.array([np.asarray(x, float) for x in v]), k, lam) for a, v in zip(q, vecs)], dtype=object)
 
     g = g.select("query_id", "doc_id", "c", pick("query_vec", F.col("c.embedding")).alias("picked"))
-    g = g.select("query_id", "doc_id", "c", F.posexplode("picked").alias("i", "p"))
-    return g.select("query_id", "doc_id", F.col("c")[F.col("p")]["chunk_index"].alias("chunk_index"), (F.col("i") + 1).alias("rank"))
+    g = g.select("query_id", "doc_id", "c", F.posexplode("picked").alias("i", "p")).withColumn("c", F.col("c")[F.col("p")])
+    return g.select("query_id", "doc_id", *(F.col(f"c.{c}").alias(c) for c in more), (F.col("i") + 1).alias("rank"))

@@ -23,25 +23,30 @@ def expand_neighbours(seeds: DataFrame, chunks: DataFrame, keys: list[str], radi
     """keys, emit_order, chunk_indices, passage. seeds: keys (doc_id among them), chunk_index, chunk_text, rank.
 
     In order of rank, a seed whose chunk is used up is skipped; any other gives the existing unused chunks within
-    radius, joined by line breaks, and uses them up. A seed without chunk_index gives its own text.
+    radius, joined by line breaks, and uses them up. A seed without chunk_index gives its own text. Chunks without
+    index are no neighbours; of several with one index the greatest text counts.
     """
-    doc = chunks.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("chunk_index", "chunk_text"))).alias("texts"))
-    s = seeds.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("rank", "chunk_index", "chunk_text"))).alias("s")).join(doc, "doc_id", "left")
-    have = F.coalesce(F.map_keys("texts"), F.array().cast("array<int>"))
-    empty = F.array().cast("array<struct<ix:array<int>,own:string>>")
-    start = F.struct(F.array().cast("array<int>").alias("used"), empty.alias("out"))
+    place = F.explode_outer(F.sequence(F.col("chunk_index") - radius, F.col("chunk_index") + radius)).alias("near")
+    asked = seeds.select(*keys, "rank", "chunk_index", "chunk_text", place)
+    # only the chunks next to a seed are joined, never a whole document
+    have = chunks.where("chunk_index is not null").groupBy("doc_id", F.col("chunk_index").alias("near")).agg(F.max("chunk_text").alias("near_text"))
+    found = asked.join(have, ["doc_id", "near"], "left")
+    around = F.sort_array(F.collect_list(F.when(F.col("near_text").isNotNull(), F.struct("near", "near_text")))).alias("around")
+    s = found.groupBy(*keys, "rank", "chunk_index").agg(F.max("chunk_text").alias("own"), around)
+    s = s.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("rank", "chunk_index", "own", "around"))).alias("s"))
+    start = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast("array<struct<ix:array<int>,passage:string>>").alias("out"))
 
     def step(acc, x):  # noqa: ANN001, ANN202
         k = x["chunk_index"]
-        ix = F.array_except(F.array_intersect(F.sequence(k - radius, k + radius), have), acc["used"])
-        plain = F.struct(acc["used"].alias("used"), F.concat(acc["out"], F.array(F.struct(F.array().cast("array<int>").alias("ix"), x["chunk_text"].alias("own")))).alias("out"))
-        taken = F.struct(F.concat(acc["used"], ix).alias("used"), F.concat(acc["out"], F.array(F.struct(ix.alias("ix"), F.lit(None).cast("string").alias("own")))).alias("out"))
+        new = F.filter(x["around"], lambda c: ~F.array_contains(acc["used"], c["near"]))
+        ix = F.transform(new, lambda c: c["near"].cast("int"))
+        plain = F.struct(acc["used"].alias("used"), F.concat(acc["out"], F.array(F.struct(F.array().cast("array<int>").alias("ix"), x["own"].alias("passage")))).alias("out"))
+        taken = F.struct(F.concat(acc["used"], ix).alias("used"), F.concat(acc["out"], F.array(F.struct(ix.alias("ix"), F.array_join(F.transform(new, lambda c: c["near_text"]), "\n").alias("passage")))).alias("out"))
         skip = F.struct(acc["used"].alias("used"), acc["out"].alias("out"))
         return F.when(k.isNull(), plain).when(F.array_contains(acc["used"], k), skip).otherwise(taken)
 
-    out = s.select(*keys, "texts", F.posexplode(F.aggregate("s", start, step)["out"]).alias("i", "o"))
-    joined = F.array_join(F.transform(F.col("o.ix"), lambda i: F.element_at(F.col("texts"), i)), "\n")
-    return out.select(*keys, (F.col("i") + 1).alias("emit_order"), F.col("o.ix").alias("chunk_indices"), F.coalesce(F.col("o.own"), joined).alias("passage"))
+    out = s.select(*keys, F.posexplode(F.aggregate("s", start, step)["out"]).alias("i", "o"))
+    return out.select(*keys, (F.col("i") + 1).alias("emit_order"), F.col("o.ix").alias("chunk_indices"), F.col("o.passage").alias("passage"))
 
 
 def ordered_distinct(rows: DataFrame, keys: list[str], text: str, order: list[str]) -> DataFrame:

@@ -11,14 +11,24 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
 def postings(chunks: DataFrame, scope: str = "doc_id", item: str = "chunk_index", text: str = "chunk_text") -> DataFrame:
-    """scope, item, term, tf, dl: term counts, and the length of the chunk."""
-    t = chunks.select(scope, item, ws_tokens(F.col(text)).alias("w"))
-    return t.select(scope, item, F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy(scope, item, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    """scope, item, term, tf, dl: term counts, and the length of the chunk. chunks may have their words in column ws
+    (see tokenized)."""
+    t = tokenized(chunks, scope, item, text).select(scope, item, F.size("ws").alias("dl"), F.explode("ws").alias("term"))
+    return t.groupBy(scope, item, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+
+
+def tokenized(chunks: DataFrame, scope: str = "doc_id", item: str = "chunk_index", text: str = "chunk_text") -> DataFrame:
+    """scope, item, text and ws, the words, by scope: all that BM25 asks of the chunks is grouped by scope, so this is the
+    one shuffle that it takes, and every part of the plan that starts from it shares it."""
+    if "ws" in chunks.columns:
+        return chunks
+    return chunks.select(scope, item, text, ws_tokens(F.col(text)).alias("ws")).repartition(scope)
 
 
 def scope_stats(chunks: DataFrame, scope: str = "doc_id", text: str = "chunk_text") -> DataFrame:
     """scope, n_chunks, avgdl."""
-    return chunks.groupBy(scope).agg(F.count("*").alias("n_chunks"), F.avg(F.size(ws_tokens(F.col(text)))).alias("avgdl"))
+    words = F.size("ws") if "ws" in chunks.columns else F.size(ws_tokens(F.col(text)))
+    return chunks.groupBy(scope).agg(F.count("*").alias("n_chunks"), F.avg(words).alias("avgdl"))
 
 
 def idf(post: DataFrame, stats: DataFrame, kind: str = "okapi", scope: str = "doc_id") -> DataFrame:
@@ -33,11 +43,13 @@ def idf(post: DataFrame, stats: DataFrame, kind: str = "okapi", scope: str = "do
     return raw.select(scope, "term", "df", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, k: int = 5, kind: str = "okapi", scope: str = "doc_id", item: str = "chunk_index", text: str = "chunk_text") -> DataFrame:
-    """queries: query_id, scope, query_text. query_id, scope, item, score, rank: the k best chunks of each query's
-    scope, those of score 0 included. Repeated query words count each time. Ties go to the lesser item."""
-    post = postings(chunks, scope, item, text)
-    stats = scope_stats(chunks, scope, text)
+def bm25(queries: DataFrame, chunks: DataFrame, k: int = 5, kind: str = "okapi", scope: str = "doc_id", item: str = "chunk_index", text: str = "chunk_text", post: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
+    """queries: query_id, scope, query_text. query_id, scope, item, text, score, rank: the k best chunks of each query's
+    scope, those of score 0 included. Repeated query words count each time. Ties go to the lesser item. post and stats:
+    stored postings() and scope_stats(), which are worked out where missing."""
+    t = tokenized(chunks, scope, item, text) if post is None or stats is None else chunks
+    post = postings(t, scope, item, text) if post is None else post
+    stats = scope_stats(t, scope, text) if stats is None else stats
     words = queries.select("query_id", scope, F.explode(ws_tokens(F.col("query_text"))).alias("term")).groupBy("query_id", scope, "term").agg(F.count("*").alias("times"))
     asked = words.select(scope, "term").distinct()
     # the statistics need all terms, the scores only those that are asked for
@@ -46,7 +58,7 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int = 5, kind: str = "okapi",
     tf, dl = F.col("tf").cast("double"), F.col("dl").cast("double")
     part = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
     scores = hit.groupBy("query_id", scope, item).agg(F.sum(part).alias("s"))
-    every = queries.select("query_id", scope).join(chunks.select(scope, item), scope)
-    full = every.join(scores, ["query_id", scope, item], "left").select("query_id", scope, item, F.round(F.coalesce("s", F.lit(0.0)), 9).alias("score"))
+    every = queries.select("query_id", scope).join(t.select(scope, item, text), scope)
+    full = every.join(scores, ["query_id", scope, item], "left").select("query_id", scope, item, text, F.round(F.coalesce("s", F.lit(0.0)), 9).alias("score"))
     w = Window.partitionBy("query_id", scope).orderBy(F.desc("score"), item)
     return full.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -32,21 +32,20 @@ def _embedded(rows: DataFrame, text: str, out: str, embedder: Embedder) -> DataF
     return rows.withColumn(out, embed_column(F.col(text), embedder))
 
 
-def hybrid(scope: DataFrame, chunks: DataFrame, k: int, p: SearchParams, doc: str = "doc_id") -> DataFrame:
+def hybrid(scope: DataFrame, chunks: DataFrame, k: int, p: SearchParams, post: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
     """scope: query_id, doc_id, query_text, query_vec. MMR and BM25 in each (query, document), fused: query_id, doc_id,
-    chunk_text, chunk_index, score, rank."""
-    texts = chunks.select("doc_id", "chunk_index", "chunk_text")
-    d = mmr(scope, chunks, k, p.lam, p.fetch_k).join(texts, ["doc_id", "chunk_index"])
-    s = bm25(scope, chunks, k, p.idf).join(texts, ["doc_id", "chunk_index"])
+    chunk_text, chunk_index, score, rank. post and stats: see bm25()."""
+    d = mmr(scope, chunks.select("doc_id", "chunk_index", "chunk_text", "embedding"), k, p.lam, p.fetch_k)
+    s = bm25(scope, chunks, k, p.idf, post=post, stats=stats)
     return rrf(d, s, ["query_id", "doc_id"], p.alpha)
 
 
-def search(queries: DataFrame, catalog: DataFrame, chunks: DataFrame, embedder: Embedder | None = None, p: SearchParams = SearchParams(), reranker: Reranker | None = None) -> DataFrame:
+def search(queries: DataFrame, catalog: DataFrame, chunks: DataFrame, embedder: Embedder | None = None, p: SearchParams = SearchParams(), reranker: Reranker | None = None, post: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
     """Document-routed search. queries: query_id, query_text. query_id, rank, passage, score, doc_id, chunk_indices.
 
     Each query is routed to top_c documents, searched in each of them, its hits widened by their neighbours, repeats
     dropped in routing order, and the passages ranked anew: fused MMR and BM25 over the passages of the query alone,
-    or by reranker. An empty catalog gives no rows.
+    or by reranker. An empty catalog gives no rows. post and stats: stored postings and statistics of all chunks.
     """
     embedder = embedder or HashingEmbedder()
     q = _embedded(queries.select("query_id", "query_text"), "query_text", "query_vec", embedder)
@@ -54,8 +53,10 @@ def search(queries: DataFrame, catalog: DataFrame, chunks: DataFrame, embedder:
     scope = written(routed.join(q, "query_id"), "routed")
     routed = scope.select("query_id", "doc_id", "route_rank")
     # the routed documents' chunks alone go on: the scan is cut down before anything is scored
-    near = written(chunks.join(routed.select("doc_id").distinct(), "doc_id", "left_semi"), "routed-chunks")
-    seeds = hybrid(scope.select("query_id", "doc_id", "query_text", "query_vec"), near, p.doc_top_k, p)
+    docs = routed.select("doc_id").distinct()
+    near = written(chunks.join(docs, "doc_id", "left_semi"), "routed-chunks")
+    stored = {} if post is None or stats is None else {"post": post.join(docs, "doc_id", "left_semi"), "stats": stats.join(docs, "doc_id", "left_semi")}
+    seeds = hybrid(scope.select("query_id", "doc_id", "query_text", "query_vec"), near, p.doc_top_k, p, **stored)
     wide = expand_neighbours(seeds, near, ["query_id", "doc_id"]).join(routed, ["query_id", "doc_id"])
     cand = ordered_distinct(wide, ["query_id"], "passage", ["route_rank", "emit_order"]).select("query_id", "doc_id", "chunk_indices", "passage", "rank")
     cand = written(cand, "passages")
@@ -80,12 +81,13 @@ def _scope(cases: DataFrame, embedder: Embedder) -> DataFrame:
 def naive(cases: DataFrame, chunks: DataFrame, embedder: Embedder, k: int = 3) -> DataFrame:
     """Nearest chunks of the case's document: query_id, rank, passage."""
     near = nearest_in_scope(_scope(cases, embedder), _embedded(chunks, "chunk_text", "embedding", embedder), k)
-    hits = near.join(chunks, ["doc_id", "chunk_index"]).select("query_id", F.col("rank").alias("at"), F.col("chunk_text").alias("passage"))
+    hits = near.select("query_id", F.col("rank").alias("at"), F.col("chunk_text").alias("passage"))
     return select_top_k(hits, ["query_id"], "passage", ["at"], k).select("query_id", "rank", "passage")
 
 
 def flat_hybrid(cases: DataFrame, chunks: DataFrame, embedder: Embedder, k: int = 3, p: SearchParams = SearchParams(), reranker: Reranker | None = None) -> DataFrame:
     """MMR and BM25 with 2k hits each, fused; the first 2k, reranked if there is a reranker; k different passages."""
+    # BM25 needs no vectors: worked out once, for MMR alone
     c = _embedded(chunks, "chunk_text", "embedding", embedder)
     hits = hybrid(_scope(cases, embedder), c, 2 * k, p).where(F.col("rank") <= 2 * k).select("query_id", "rank", F.col("chunk_text").alias("passage"))
     if reranker is not None:
@@ -112,7 +114,7 @@ def parent_child(cases: DataFrame, family: DataFrame, embedder: Embedder, k: int
     """The 3k nearest children; their parents in order of the first hit; k different parent texts. family: doc_id,
     parent_index, parent_text, child_index, child_text."""
     c = _embedded(family, "child_text", "embedding", embedder).select("doc_id", F.struct("parent_index", "child_index").alias("chunk_index"), "embedding", "parent_text")
-    near = nearest_in_scope(_scope(cases, embedder), c, 3 * k).join(c.select("doc_id", "chunk_index", "parent_text"), ["doc_id", "chunk_index"])
+    near = nearest_in_scope(_scope(cases, embedder), c, 3 * k)
     hits = near.select("query_id", F.col("rank").alias("at"), F.col("parent_text").alias("passage"))
     return select_top_k(hits, ["query_id"], "passage", ["at"], k).select("query_id", "rank", "passage")
 
@@ -122,5 +124,5 @@ def query_rewrite(cases: DataFrame, chunks: DataFrame, embedder: Embedder, k: in
     r = cases.select("query_id", "doc_id", F.posexplode(rewrites(F.col("query_text"), rewrite_count)).alias("no", "query_text"))
     r = r.select(F.struct("query_id", "no").alias("query_id"), "doc_id", "query_text")
     near = nearest_in_scope(_scope(r, embedder), _embedded(chunks, "chunk_text", "embedding", embedder), max(k, 2))
-    hits = near.join(chunks, ["doc_id", "chunk_index"]).select(F.col("query_id.query_id").alias("query_id"), F.col("query_id.no").alias("no"), F.col("rank").alias("at"), F.col("chunk_text").alias("passage"))
+    hits = near.select(F.col("query_id.query_id").alias("query_id"), F.col("query_id.no").alias("no"), F.col("rank").alias("at"), F.col("chunk_text").alias("passage"))
     return select_top_k(hits, ["query_id"], "passage", ["no", "at"], k).select("query_id", "rank", "passage")

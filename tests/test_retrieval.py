@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillsift.functions.vector import cosine
 from quillsift.functions.models import HashingEmbedder, LexicalReranker
 from quillsift.operators import dense, evaluate, fusion, lexical
 from quillsift.operators import rerank as rr
@@ -70,18 +71,61 @@ def test_routing_count_and_ties(spark):
     assert dense.route(q, cat.limit(0)).count() == 0 and dense.route(q.limit(0), cat).count() == 0
 
 
+@pytest.mark.parametrize("block", [1 << 20, 200])
 @pytest.mark.parametrize("metric", ["dot", "cosine", "l2"])
-def test_both_ways_of_top_k_agree(spark, metric, monkeypatch):
+def test_top_k_against_every_pair(spark, metric, block, monkeypatch):
+    """Many ties, null, empty, zero and NaN vectors, other lengths, in one block of queries and in several."""
+    monkeypatch.setattr(dense, "QUERY_BYTES", block)
+    monkeypatch.setattr(dense, "SCORES", 64)
     rng = np.random.default_rng(0)
-    v = [(i, [float(x) for x in rng.normal(size=5)]) for i in range(200)]
-    items = spark.createDataFrame(v, "doc_id long, vec array<double>").repartition(3)
-    q = spark.createDataFrame(v[:20], "query_id long, query_vec array<double>")
-    a = dense.top_k(q, items, 4, metric).collect()
-    monkeypatch.setattr(dense, "QUERY_BYTES", 0)
-    b = dense.top_k(q, items, 4, metric).collect()
-    key = lambda r: (r.query_id, r.rank)
-    for x, y in zip(sorted(a, key=key), sorted(b, key=key), strict=True):
-        assert (x.query_id, x.rank, x.doc_id) == (y.query_id, y.rank, y.doc_id) and x.score == pytest.approx(y.score)
+    v = [(i, [float(x) for x in rng.integers(-2, 3, size=3)]) for i in range(150)]
+    odd = [(200, None), (201, []), (202, [0.0, 0.0, 0.0]), (203, [float("nan"), 1.0, 1.0]), (204, [1.0, None, 1.0]), (205, [1.0, 2.0])]
+    items = spark.createDataFrame(v + odd, "doc_id long, vec array<double>").repartition(3)
+    queries = v[:12] + odd
+    got = [(r.query_id, r.doc_id, round(r.score, 6), r["rank"]) for r in dense.top_k(spark.createDataFrame(queries, "query_id long, query_vec array<double>"), items, 4, metric).collect()]
+
+    def usable(x):
+        return x and all(y is not None and y == y for y in x)
+
+    want = []
+    for i, q in queries:
+        scored = []
+        for j, x in v + odd:
+            if usable(q) and usable(x) and (metric == "dot" or len(q) == len(x)):
+                dot = sum(a * b for a, b in zip(q, x))
+                length = math.hypot(*q) * math.hypot(*x)
+                s = {"dot": dot, "cosine": dot / length if length else 0.0, "l2": -sum((a - b) ** 2 for a, b in zip(q, x))}[metric]
+                scored.append((-round(s, 9), j))
+        want += [(i, j, round(-s, 6), r) for r, (s, j) in enumerate(sorted(scored)[:4], 1)]
+    assert sorted(got) == sorted(want)
+
+
+def test_cosine_of_zero_and_null_vectors(spark):
+    d = spark.createDataFrame([([0.0, 0.0], [1.0, 2.0]), ([1.0, 2.0], [1.0, 2.0]), (None, [1.0])], "a array<double>, b array<double>")
+    assert [r[0] for r in d.select(F.round(cosine(F.col("a"), F.col("b")), 9)).collect()] == [0.0, 1.0, None]
+
+
+def test_neighbours_of_null_and_repeated_indices(spark):
+    chunks = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (1, 1, "c"), (1, None, "n"), (1, None, "m"), (2, 1, "z")], "doc_id long, chunk_index int, chunk_text string")
+    seeds = spark.createDataFrame([(9, 1, 1, "b", 1), (9, 1, None, "own", 2), (9, 3, 5, "gone", 1)], "query_id long, doc_id long, chunk_index int, chunk_text string, rank int")
+    got = fusion.expand_neighbours(seeds, chunks, ["query_id", "doc_id"]).orderBy("doc_id", "emit_order").collect()
+    assert [(r.doc_id, r.chunk_indices, r.passage) for r in got] == [(1, [0, 1], "a\nc"), (1, [], "own"), (3, [], "")]
+
+
+def test_each_text_is_embedded_once(spark, tmp_path):
+    """Counted by a log that the embedder writes, one line a text."""
+    class Logged(HashingEmbedder):
+        def embed(self, texts):
+            with open(f"{tmp_path}/log", "a") as f:
+                f.writelines(t.replace("\n", " ") + "\n" for t in texts)
+            return super().embed(texts)
+
+    docs = spark.createDataFrame([(i, "\n".join(f"text {i} line {k}" for k in range(6))) for i in range(5)], "doc_id long, text string").repartition("doc_id")
+    chunks = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("chunk_index", "chunk_text"))
+    cases = docs.select(F.col("doc_id").alias("query_id"), "doc_id", F.lit("which line").alias("query_text"))
+    assert pipelines.flat_hybrid(cases, chunks, Logged()).count() > 0
+    seen = (tmp_path / "log").read_text().split("\n")[:-1]
+    assert len([t for t in seen if t != "which line"]) == 30 and seen.count("which line") == 5
 
 
 def test_scores_and_kinds(spark):
