@@ -6,6 +6,7 @@ line. Questions over the whole collection are the benchmark texts.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -83,14 +84,16 @@ def _vec(name: str, source: str, ids: str, text: str) -> str:
 
 
 #: Dense hits in a case's own document: squared distance from dot product and lengths (1, or 0 without words).
-DENSE = f"""{LINES}, {CASES}, {_vec("qv", "cases", "query_id", "query_text")}, {_vec("cv", "lines", "doc_id, chunk_index", "chunk_text")},
-dots as (select cv.doc_id, cv.chunk_index, sum(qv.w * cv.w) as dp from cv join qv on qv.query_id = cv.doc_id and qv.place = cv.place group by all),
+HITS = f"""{_vec("qv", "cases", "query_id", "query_text")}, {_vec("cv", "lines", "doc_id, chunk_index", "chunk_text")},
+dots as (select c.query_id, cv.doc_id, cv.chunk_index, sum(qv.w * cv.w) as dp from cases c join cv using (doc_id) join qv on qv.query_id = c.query_id and qv.place = cv.place group by all),
 qlen as (select query_id, 1.0 as l from qv group by query_id), clen as (select doc_id, chunk_index, 1.0 as l from cv group by all),
 near as (select c.query_id, l.doc_id, l.chunk_index, l.chunk_text, coalesce(dp, 0) as dp,
   round(-(coalesce(qlen.l, 0) + coalesce(clen.l, 0) - 2 * coalesce(dp, 0)), 9) + 0.0 as score
-  from cases c join lines l using (doc_id) left join dots using (doc_id, chunk_index) left join qlen using (query_id) left join clen using (doc_id, chunk_index)),
+  from cases c join lines l using (doc_id) left join dots using (query_id, doc_id, chunk_index) left join qlen using (query_id) left join clen using (doc_id, chunk_index)),
 dense as (select *, row_number() over (partition by query_id, doc_id order by score desc, chunk_index) as rank from near)"""
 
+DENSE = f"{LINES}, {CASES}, {HITS}"
+
 
 def _bm25(idf: str) -> str:
     if idf == "lucene":
@@ -296,8 +299,9 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
 
 #: Greedy picks one a step. Lengths are 1 or 0, so that cosines are dot products.
 MMR = """pool as (select query_id, doc_id, chunk_index, rank as pos, round(dp, 9) as sim from dense where rank <= 20),
-cross_dots as (select a.doc_id, a.chunk_index as a, b.chunk_index as b, sum(a.w * b.w) as dp from cv a join pool p on p.doc_id = a.doc_id and p.chunk_index = a.chunk_index
-  join cv b on b.doc_id = a.doc_id and b.place = a.place join pool p2 on p2.doc_id = b.doc_id and p2.chunk_index = b.chunk_index group by all),
+pooled as (select distinct doc_id, chunk_index from pool),
+cross_dots as (select a.doc_id, a.chunk_index as a, b.chunk_index as b, sum(a.w * b.w) as dp from cv a join pooled p on p.doc_id = a.doc_id and p.chunk_index = a.chunk_index
+  join cv b on b.doc_id = a.doc_id and b.place = a.place join pooled p2 on p2.doc_id = b.doc_id and p2.chunk_index = b.chunk_index group by all),
 cands as (select p.query_id, p.doc_id, p.chunk_index, p.pos, p.sim, list({'b': o.chunk_index, 's': round(coalesce(x.dp, 0), 9)}) as xs
   from pool p join pool o on o.query_id = p.query_id and o.doc_id = p.doc_id left join cross_dots x on x.doc_id = p.doc_id and x.a = p.chunk_index and x.b = o.chunk_index group by all),
 picks as (
@@ -469,12 +473,39 @@ def pipeline_query_rewrite(spark: SparkSession, d: str) -> DataFrame:
     return pipelines.query_rewrite(_cases(spark, d), _lines(spark, d), HashingEmbedder())
 
 
-@query(None)  # two stages of recursive picks; tested against a plain Python version
+def _search() -> str:
+    """Routing, then the hybrid search of each routed document, its hits widened, and the same search over each query's
+    passages: the tables of the second round are those of the first under other names."""
+    def hybrid(k: int) -> str:
+        mmr = MMR.replace("p.step < 5", f"p.step < {k}")
+        sparse = f"(select * from bm25 where rank <= {k})"
+        return f"{HITS}, {mmr}, mmr_text as (select m.*, l.chunk_text from mmr m join lines l using (doc_id, chunk_index)), {_bm25('okapi')}, {FUSED.format(dense='mmr_text', sparse=sparse)}"
+
+    first, second = hybrid(5), hybrid(3)
+    names = set(re.findall(r"(?:^|,|\))\s*(\w+) as (?:materialized )?\(", second)) | {"lines", "cases"}
+    second = re.sub(r"\b(" + "|".join(sorted(names, key=len, reverse=True)) + r")\b(?! *\()(?!\.s\b)", r"\1_2", second)
+    return f"""with recursive {LINES}, docs as (select doc_id, text from documents), {_vec("bv", "benchmark", "item_id", "text")}, {_vec("dv", "docs", "doc_id", "text")},
+route_scores as (select item_id as query_id, b.text as query_text, d.doc_id, round(coalesce(s, 0), 9) as score from benchmark b cross join docs d
+  left join (select item_id, doc_id, sum(bv.w * dv.w) as s from bv join dv using (place) group by all) x using (item_id, doc_id)),
+cases as (select query_id, doc_id, query_text, row_number() over (partition by query_id order by score desc, doc_id) as route_rank from route_scores qualify route_rank <= 5),
+{first}, {_expand("ranked")},
+found as (select p.query_id, p.doc_id, p.passage, array_to_string(p.ix, ',') as chunk_indices, c.route_rank, p.emit_order from passages p join cases c using (query_id, doc_id)),
+unique_found as (select * from found qualify row_number() over (partition by query_id, passage order by route_rank, emit_order) = 1),
+cand as (select *, row_number() over (partition by query_id order by route_rank, emit_order)::integer as place_no from unique_found),
+lines_2 as (select query_id as doc_id, place_no as chunk_index, passage as chunk_text from cand),
+cases_2 as (select item_id as query_id, item_id as doc_id, text as query_text from benchmark where item_id in (select query_id from cand)),
+{second}
+select r.query_id, r.rank, c.passage, round(r.score, 9) as score, c.doc_id, c.chunk_indices from ranked_2 r join cand c on c.query_id = r.query_id and c.place_no = r.chunk_index where r.rank <= 3"""
+
+
+@query(_search())
 def search_two_stage(spark: SparkSession, d: str) -> DataFrame:
     docs = _t(spark, d, "documents")
     catalog = docs.select("doc_id", T.summary_input(F.col("text")).alias("summary")).withColumn("values", _embed("summary"))
     q = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
-    return pipelines.search(q, catalog, _chunks(spark, d))
+    found = pipelines.search(q, catalog, _chunks(spark, d))
+    indices = F.array_join(F.transform("chunk_indices", lambda i: i.cast("string")), ",")
+    return found.select("query_id", "rank", "passage", F.round("score", 9).alias("score"), "doc_id", indices.alias("chunk_indices"))
 
 
 # --- evaluation ------------------------------------------------------------------------------------------------------
