@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,6 +61,17 @@ def discard(*tables: DataFrame) -> None:
         _written[spark.sparkContext.applicationId].remove(df._written_to)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """make(), written; of the tables that it wrote on the way none is kept."""
+    app = spark.sparkContext.applicationId
+    before = len(_written.get(app, []))
+    out = written(make(), label)
+    for path in _written[app][before:-1]:
+        _delete(spark, path)
+    del _written[app][before:-1]
+    return out
+
+
 def release(spark: SparkSession) -> None:
     """Deletes what written() left for this application, unless its session has ended: its gateway is closed then, and
     the folder's owner cleans up."""
