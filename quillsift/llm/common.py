@@ -7,9 +7,9 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillsift.sources.scratch import discard, release, shared_dir, written
+from quillsift.sources.scratch import discard, release, settled, shared_dir, written
 
-__all__ = ["discard", "est_tokens", "free", "join_hot", "maybe_broadcast", "release", "shared_dir", "tables", "text_key", "without_rows", "written"]
+__all__ = ["discard", "est_tokens", "free", "join_hot", "maybe_broadcast", "release", "settled", "shared_dir", "tables", "text_key", "without_rows", "written"]
 
 #: A key table of at most this many bytes is sent to every executor; a larger one is joined by shuffle.
 BROADCAST_BYTES = 32 << 20
