@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from quillsift.functions import text as T
 from quillsift.functions import vector as V
-from quillsift.functions.models import HashingEmbedder, LexicalReranker, embed_column
+from quillsift.functions import generate
+from quillsift.functions.models import ContextGenerator, HashingEmbedder, LeadGenerator, LexicalReranker, embed_column
 from quillsift.operators import dense, evaluate, fusion, lexical, split
 from quillsift.operators import rerank as rr
 from quillsift.plans import pipelines
@@ -368,11 +369,9 @@ def reranker_type(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "part").select("p_partkey", rr.reranker_type(family, arch, F.lit("auto")).alias("kind"))
 
 
-def _sql_text(s: str) -> str:
-    return "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
-
-
-@query("select item_id, " + _sql_text(rr.PROMPTS["qwen_decoder"][0]) + " || '<Query>: ' || lower(text) || chr(10) || '<Document>: ' || text || " + _sql_text(rr.PROMPTS["qwen_decoder"][1]) + " as prompt from benchmark")
+@query(r"""select item_id, '<|im_start|>system' || chr(10) || 'Answer yes or no: does the Document meet the Query, given the Instruct?<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10)
+  || '<Instruct>: Find passages on the web that answer the question' || chr(10) || '<Query>: ' || lower(text) || chr(10) || '<Document>: ' || text
+  || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || '<think>' || chr(10) || chr(10) || '</think>' || chr(10) || chr(10) as prompt from benchmark""")
 def rerank_prompt(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "benchmark").select("item_id", rr.prompt("qwen_decoder", F.lower("text"), F.col("text")).alias("prompt"))
 
@@ -508,6 +507,27 @@ def search_two_stage(spark: SparkSession, d: str) -> DataFrame:
     return found.select("query_id", "rank", "passage", F.round("score", 9).alias("score"), "doc_id", indices.alias("chunk_indices"))
 
 
+@query(rf"""with lead as (select doc_id, string_split_regex(trim(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), E' \n\t\r'), chr(1)) as s from documents)
+select doc_id, md5(trim(array_to_string(s[1:5], ' '), E' \n\t\r')) as summary_md5 from lead""")
+def summary_generated(spark: SparkSession, d: str) -> DataFrame:
+    """Summaries by the offline stand-in: the first five sentences."""
+    return generate.summaries(_t(spark, d, "documents").select("doc_id", "text"), LeadGenerator()).select("doc_id", F.md5("summary").alias("summary_md5"))
+
+
+@query(f"""with {LINES}, {CASES}, {_bm25("okapi")},
+top as (select query_id, any_value(query_text) as q, array_to_string(list(chunk_text order by rank), chr(10) || chr(10)) as context from bm25 join cases using (query_id, doc_id) where rank <= 3 group by query_id),
+shared as (select query_id, i, l, len(list_intersect(list_distinct(regexp_extract_all(lower(l), '[a-z0-9]+')), list_distinct(regexp_extract_all(lower(q), '[a-z0-9]+')))) as n
+  from top, unnest(list_filter(string_split(context, chr(10)), lambda x: regexp_matches(x, '\\S'))) with ordinality as u(l, i)),
+best as (select query_id, arg_max(l, row(n, -i)) as l, max(n) as n from shared group by query_id)
+select query_id, md5(case when n > 0 then trim(l, E' \\n\\t\\r') else 'The context does not tell.' end) as answer_md5 from best""")
+def answers_generated(spark: SparkSession, d: str) -> DataFrame:
+    """Answers by the offline stand-in, over the three best lines of each document."""
+    cases = _cases(spark, d)
+    top = lexical.bm25(cases, _lines(spark, d), 3).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "chunk_text"))).alias("c"))
+    rows = top.join(cases.select("query_id", F.col("query_text").alias("question")), "query_id").select("query_id", "question", F.col("c.chunk_text").alias("contexts"))
+    return generate.answered(rows, ContextGenerator()).select("query_id", F.md5("answer").alias("answer_md5"))
+
+
 # --- evaluation ------------------------------------------------------------------------------------------------------
 
 

@@ -1,14 +1,16 @@
 """Plug points for models, and stand-ins that need none.
 
-An embedder turns texts into vectors, a reranker scores (query, passage) pairs; both get whole Arrow batches. Real
-models implement the same two methods, for instance over onnxruntime, and are loaded once a worker.
+An embedder turns texts into vectors, a reranker scores (query, passage) pairs, a generator answers chat prompts; all get
+whole Arrow batches. Real models implement the same methods (functions.onnx has two over onnxruntime). Wherever a
+model is asked for, a function without arguments that makes one will do: it is called once a task, on the executor, so
+that no weights travel with the plan.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import numpy as np
@@ -25,6 +27,12 @@ class Reranker(Protocol):
     def score(self, queries: Sequence[str], passages: Sequence[str]) -> np.ndarray: ...
 
 
+class Generator(Protocol):
+    def complete(self, system: Sequence[str], user: Sequence[str]) -> list[tuple[str | None, int | None, int | None]]:
+        """Text, prompt tokens and completion tokens for each prompt; tokens are None where they were not counted."""
+        ...
+
+
 class HashingEmbedder:
     """Counts of lower-case ASCII words, each at the place that its MD5 names, scaled to length 1. Texts without a
     word get the zero vector."""
@@ -59,23 +67,74 @@ class LexicalReranker:
         return np.array(out, float)
 
 
-def embed_column(text: Column, embedder: Embedder, batch: int = 8) -> Column:
+class LeadGenerator:
+    """A stand-in for summaries: the first sentences of the prompt, word for word."""
+
+    def __init__(self, sentences: int = 5) -> None:
+        self.sentences = sentences
+
+    def complete(self, system: Sequence[str], user: Sequence[str]) -> list[tuple[str | None, int | None, int | None]]:
+        return [(" ".join(re.split(r"(?<=[.!?])\s+", (u or "").strip())[: self.sentences]), None, None) for u in user]
+
+
+class ContextGenerator:
+    """A stand-in for answers: of the prompt's context, the line with most words of its question (see answer_prompt)."""
+
+    def complete(self, system: Sequence[str], user: Sequence[str]) -> list[tuple[str | None, int | None, int | None]]:
+        out = []
+        for u in user:
+            context, _, question = (u or "").rpartition("\n\nQuestion: ")
+            words = set(re.findall(r"[a-z0-9]+", question.lower()))
+            lines = [x for x in context.removeprefix("Context:\n").split("\n") if x.strip()]
+            best = max(lines, key=lambda x: len(words & set(re.findall(r"[a-z0-9]+", x.lower()))), default="")
+            out.append((best if words & set(re.findall(r"[a-z0-9]+", best.lower())) else "The context does not tell.", None, None))
+        return out
+
+
+def _loaded(model: object) -> object:
+    """The model, made now if what was given makes one."""
+    return model() if callable(model) else model
+
+
+def embed_column(text: Column, embedder: Embedder | Callable[[], Embedder], batch: int = 8) -> Column:
     """array<double> of a text; the model sees batches of the given size."""
 
     @F.pandas_udf("array<double>")
-    def run(texts: pd.Series) -> pd.Series:
-        values = texts.fillna("").tolist()
-        parts = [embedder.embed(values[i : i + batch]) for i in range(0, len(values), batch)]
-        return pd.Series([list(map(float, v)) for p in parts for v in p], dtype=object)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = _loaded(embedder)
+        for texts in batches:
+            values = texts.fillna("").tolist()
+            parts = [model.embed(values[i : i + batch]) for i in range(0, len(values), batch)]
+            yield pd.Series([list(map(float, v)) for p in parts for v in p], dtype=object)
 
     return run(text)
 
 
-def pair_score_column(query: Column, passage: Column, reranker: Reranker, batch: int = 8) -> Column:
+def pair_score_column(query: Column, passage: Column, reranker: Reranker | Callable[[], Reranker], batch: int = 8) -> Column:
     @F.pandas_udf("double")
-    def run(q: pd.Series, p: pd.Series) -> pd.Series:
-        qs, ps = q.tolist(), p.tolist()
-        parts = [reranker.score(qs[i : i + batch], ps[i : i + batch]) for i in range(0, len(qs), batch)]
-        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        model = _loaded(reranker)
+        for q, p in batches:
+            qs, ps = q.tolist(), p.tolist()
+            parts = [model.score(qs[i : i + batch], ps[i : i + batch]) for i in range(0, len(qs), batch)]
+            yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
     return run(query, passage)
+
+
+def complete_column(system: Column, user: Column, generator: Generator | Callable[[], Generator], batch: int = 8) -> Column:
+    """struct<text, input_tokens, output_tokens> of a prompt. Where the model counts no tokens they are estimated; an
+    answer without text is an error."""
+
+    @F.pandas_udf("text string, input_tokens long, output_tokens long")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        model = _loaded(generator)
+        for s, u in batches:
+            ss, us = s.fillna("").tolist(), u.fillna("").tolist()
+            rows = [r for i in range(0, len(us), batch) for r in model.complete(ss[i : i + batch], us[i : i + batch])]
+            if any(r[0] is None for r in rows):
+                raise ValueError("the model gave no answer")
+            counted = [(t.strip(), -(-len(a + "\n" + b) // 4) if n is None else n, -(-len(t) // 4) if m is None else m) for (t, n, m), a, b in zip(rows, ss, us)]
+            yield pd.DataFrame(counted, columns=["text", "input_tokens", "output_tokens"])
+
+    return run(system, user)

@@ -2,15 +2,39 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillsift.functions.models import Reranker, pair_score_column
 
-PROMPTS = {
-    "qwen_decoder": ("<|im_start|>system\nAnswer yes or no: does the passage meet the request?<|im_end|>\n<|im_start|>user\n", "<|im_end|>\n<|im_start|>assistant\n"),
-    "bge_decoder": ("A: ", "\nDoes passage B answer query A? Reply Yes or No."),
-}
+
+@dataclass(frozen=True)
+class Template:
+    """The prompt of a decoder. A model scores best by the words that it was trained on, so give those of its model card
+    here; these defaults have the same parts and order. body holds {query} and {passage}."""
+
+    prefix: str
+    body: str
+    suffix: str
+    yes: str
+    no: str
+
+    def pair(self, query: str, passage: str) -> str:
+        before, _, rest = self.body.partition("{query}")
+        between, _, after = rest.partition("{passage}")
+        return before + query + between + passage + after
+
+
+TEMPLATES = {
+    "qwen_decoder": Template(
+        "<|im_start|>system\nAnswer yes or no: does the Document meet the Query, given the Instruct?<|im_end|>\n<|im_start|>user\n",
+        "<Instruct>: Find passages on the web that answer the question\n<Query>: {query}\n<Document>: {passage}",
+        "<|im_end|>\n<|im_start|>assistant\n<think>\n\n</think>\n\n", "yes", "no",
+    ),
+    "bge_decoder": Template("Does passage B hold an answer to query A? Reply 'Yes' or 'No'.\n", "A: {query}\nB: {passage}", "\nAnswer:", "Yes", "No"),
+}
 
 
 def reranker_type(family: Column, architecture: Column, explicit: Column | None = None) -> Column:
@@ -27,10 +51,11 @@ def reranker_type(family: Column, architecture: Column, explicit: Column | None
     return auto if explicit is None else F.when(explicit.isNotNull() & (explicit != "auto"), explicit).otherwise(auto)
 
 
-def prompt(kind: str, query: Column, passage: Column) -> Column:
-    before, after = PROMPTS[kind]
-    body = F.concat(F.lit("<Query>: "), query, F.lit("\n<Document>: "), passage) if kind == "qwen_decoder" else F.concat(query, F.lit("\nB: "), passage)
-    return F.concat(F.lit(before), body, F.lit(after))
+def prompt(kind: str, query: Column, passage: Column, template: Template | None = None) -> Column:
+    t = template or TEMPLATES[kind]
+    before, _, rest = t.body.partition("{query}")
+    between, _, after = rest.partition("{passage}")
+    return F.concat(F.lit(t.prefix + before), query, F.lit(between), passage, F.lit(after + t.suffix))
 
 
 def decoder_score(yes: Column, no: Column, normalize: bool = True) -> Column:
