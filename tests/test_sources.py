@@ -5,8 +5,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from quillsift.operators import evaluate
-from quillsift.sources import report, texts
+from quillsift.operators import evaluate, lexical
+from quillsift.plans.pipelines import search
+from quillsift.sources import report, scratch, texts
 from quillsift.sources.store import Index
 from quillsift.streaming.ingest import stream_into
 
@@ -39,8 +40,10 @@ def test_index_life(spark, tmp_path):
     assert len(own.doc_id) == 12
     index.delete(["a", own.doc_id])
     assert index.info().count() == 0 and index.search(q).count() == 0
-    (tmp_path / "ix" / "CURRENT.json").write_text("{broken")
-    (tmp_path / "ix" / ".CURRENT.json.crc").unlink(missing_ok=True)
+    for f in (tmp_path / "ix").glob("CURRENT-*"):
+        f.write_text("{broken")
+    for f in (tmp_path / "ix").glob(".CURRENT-*"):
+        f.unlink()
     with pytest.raises(ValueError, match="cannot be read"):
         index.add(docs)
     index.clear()
@@ -50,6 +53,77 @@ def test_index_life(spark, tmp_path):
         Index(spark, f"{tmp_path}/other").clear()
 
 
+def test_there_is_an_index_at_every_moment(spark, tmp_path, monkeypatch):
+    """A writer that dies before, or amid, its pointer leaves the index as it was."""
+    index = Index(spark, f"{tmp_path}/ix")
+    one = spark.createDataFrame([("a", "one text"), ("b", "two")], "doc_id string, text string")
+    two = spark.createDataFrame([("a", "new text"), ("c", "three")], "doc_id string, text string")
+    index.add(one)
+    before = {r.doc_id: r.summary for r in index.info().collect()}
+    with monkeypatch.context() as m:
+        m.setattr(Index, "_point", lambda *_: (_ for _ in ()).throw(OSError("died")))
+        for write in (lambda: index.add(two), lambda: index.delete(["a"]), index.compact):
+            with pytest.raises(OSError, match="died"):
+                write()
+            assert {r.doc_id: r.summary for r in index.info().collect()} == before
+    last = index._pointers()[-1]
+    (tmp_path / "ix" / f"CURRENT-{last + 1}.json").write_text('{"steps": [{"ad')
+    assert {r.doc_id: r.summary for r in index.info().collect()} == before
+    index.add(two)
+    assert {r.doc_id: r.summary for r in index.info().collect()} == {"a": "new text", "b": "two", "c": "three"}
+
+
+def test_deletes_write_ids_alone_and_search_uses_stored_postings(spark, tmp_path):
+    index = Index(spark, f"{tmp_path}/ix")
+    docs = spark.createDataFrame([(f"d{i}", f"common words and number{i} here\n\nmore of number{i}") for i in range(6)], "doc_id string, text string")
+    index.add(docs, 30)
+    files = {f for f in (tmp_path / "ix").rglob("*.parquet")}
+    index.delete(docs.where("doc_id in ('d1', 'd2')").select("doc_id"))
+    new = {f for f in (tmp_path / "ix").rglob("*.parquet")} - files
+    assert new and all(f.parent.name.startswith("hidden-") for f in new)
+    q = spark.createDataFrame([(1, "number1 words"), (2, "number4")], "query_id long, query_text string")
+    got = sorted(map(tuple, index.search(q).collect()))
+    again = sorted(map(tuple, search(q, index.catalog(), index.chunks()).collect()))
+    assert got == again and got and all(r[4] not in ("d1", "d2") for r in got)
+    live = {(r.doc_id, r.term, r.chunk_index): r.tf for r in index.postings().collect()}
+    want = {(r.doc_id, r.term, r.chunk_index): r.tf for r in lexical.postings(index.chunks()).collect()}
+    assert live == want
+    index.compact()
+    assert sorted(map(tuple, index.search(q).collect())) == got
+    index.add(spark.createDataFrame([("d1", "back again number1"), ("d1", "back again")], "doc_id string, text string"))
+    assert {r.doc_id: r.summary for r in index.info().collect()}["d1"] == "back again number1"
+
+
+def test_scratch_folder(spark, tmp_path):
+    class Unset:
+        isDefined = staticmethod(lambda: False)
+
+    class Context:
+        applicationId, master = "x", "spark://host:7077"
+        class _jsc:
+            class sc:
+                getCheckpointDir = staticmethod(Unset)
+
+    class Session:
+        sparkContext = Context
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+    with pytest.raises(RuntimeError, match="all executors share"):
+        scratch.shared_dir(Session)
+    a = scratch.written(spark.range(3), "t")
+    def make():
+        scratch.written(spark.range(4), "inner")
+        return a.union(a)
+    b = scratch.settled(spark, make, "t")
+    assert b.count() == 6
+    left = {p.rsplit("/", 1)[1].split("-")[0] for p in scratch._written[spark.sparkContext.applicationId]}
+    assert "inner" not in left
+    scratch.discard(a, b)
+    with pytest.raises(Exception):
+        a.count()
+
+
 def test_streaming_ingest(spark, tmp_path):
     docs = spark.createDataFrame([("a", "one text"), ("b", "two texts")], "doc_id string, text string")
     docs.where("doc_id = 'a'").write.parquet(f"{tmp_path}/in")
