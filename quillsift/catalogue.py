@@ -19,7 +19,8 @@ from quillsift.functions.models import ContextGenerator, HashingEmbedder, LeadGe
 from quillsift.operators import dense, evaluate, fusion, lexical, split
 from quillsift.operators import rerank as rr
 from quillsift.plans import pipelines
-from quillsift.sources import report
+from quillsift.sources import report, scratch
+from quillsift.sources.store import Index
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -235,11 +236,29 @@ def chunk_lossless(spark: SparkSession, d: str) -> DataFrame:
     return g.select("doc_id", F.md5("glued").alias("body_md5"), (F.element_at("c.chunk_index", -1) + 1 == F.size("c")).alias("dense"))
 
 
-@query(r"select doc_id, true as inside, true as bounded from documents where regexp_matches(text, '\S')")
+def _covered(text: Column, parts: Column, overlap: int = 30) -> Column:
+    """What ordered parts cover of a text, each place once. A part is looked for behind the start of the one before, and no
+    more than overlap characters before its end: parts that overlap more, or leave something out, do not give the text."""
+    start = F.struct(F.lit(0).alias("begin"), F.lit(0).alias("end"), F.lit("").alias("body"))
+
+    def step(acc: Column, x: Column) -> Column:
+        at = F.position(x, text, F.greatest(acc["begin"], acc["end"] - overlap) + 1)
+        new = F.greatest(at, acc["end"] + 1)
+        last = at + F.length(x) - 1
+        return F.struct(at.alias("begin"), F.greatest(last, acc["end"]).alias("end"), F.concat(acc["body"], F.substring(text, new, F.greatest(last - new + 1, F.lit(0)))).alias("body"))
+
+    return F.aggregate(parts, start, step)["body"]
+
+
+@query(r"select doc_id, md5(regexp_replace(text, '\s+', '', 'g')) as body_md5, true as bounded, true as dense from documents where regexp_matches(text, '\S')")
 def chunk_overlap(spark: SparkSession, d: str) -> DataFrame:
-    docs = _t(spark, d, "documents").select("doc_id", "text")
+    """Overlapping chunks, put together again by where they stand in the text."""
+    docs = _docs(spark, d)
     c = split.chunks(docs.withColumn("body", F.col("text")), "body", 100, 30, number_first=True)
-    return c.groupBy("doc_id").agg(F.every(F.col("text").contains(F.col("chunk_text"))).alias("inside"), F.every((F.length("chunk_text") <= 101) | ~F.trim("chunk_text").contains(" ")).alias("bounded"))
+    g = c.groupBy("doc_id").agg(F.max("text").alias("text"), F.sort_array(F.collect_list(F.struct("chunk_index", "chunk_text"))).alias("c"))
+    body = _covered(F.col("text"), F.col("c.chunk_text"))
+    bounded = F.forall("c.chunk_text", lambda x: (F.length(x) <= 101) | ~F.trim(x).contains(" "))
+    return g.select("doc_id", F.md5(F.regexp_replace(body, r"\s+", "")).alias("body_md5"), bounded.alias("bounded"), (F.element_at("c.chunk_index", -1) + 1 == F.size("c")).alias("dense"))
 
 
 @query(r"select doc_id, md5(regexp_replace(text, '\s+', '', 'g')) as body_md5 from documents where regexp_matches(text, '\S')")
@@ -249,11 +268,15 @@ def section_chunks(spark: SparkSession, d: str) -> DataFrame:
     return _glued(c, ["doc_id"], ["section_index", "chunk_index"], "chunk_text").select("doc_id", F.md5("glued").alias("body_md5"))
 
 
-@query(r"select doc_id, true as children_make_parents from documents where regexp_matches(text, '\S')")
+@query(r"select doc_id, md5(regexp_replace(text, '\s+', '', 'g')) as body_md5, true as children_make_parents from documents where regexp_matches(text, '\S')")
 def parent_child_chunks(spark: SparkSession, d: str) -> DataFrame:
-    f = split.parents_children(_t(spark, d, "documents"), 150, 100)
+    """The texts of the parents, put together again by where they stand, and those of the children within them."""
+    docs = _docs(spark, d)
+    f = split.parents_children(docs, 150, 100)
     g = _glued(f, ["doc_id", "parent_index", "parent_text"], ["child_index"], "child_text")
-    return g.groupBy("doc_id").agg(F.every(F.col("glued") == F.regexp_replace("parent_text", r"\s+", "")).alias("children_make_parents"))
+    p = g.groupBy("doc_id").agg(F.every(F.col("glued") == F.regexp_replace("parent_text", r"\s+", "")).alias("children_make_parents"), F.sort_array(F.collect_list(F.struct("parent_index", "parent_text"))).alias("c"))
+    body = _covered(F.col("text"), F.col("c.parent_text"))
+    return p.join(docs, "doc_id").select("doc_id", F.md5(F.regexp_replace(body, r"\s+", "")).alias("body_md5"), "children_make_parents")
 
 
 @query(r"select conv_id, turn, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S')))::integer as n from conversations")
@@ -400,15 +423,36 @@ def rerank_topk(spark: SparkSession, d: str) -> DataFrame:
 # --- catalog ---------------------------------------------------------------------------------------------------------
 
 
-@query("select doc_id, md5(text) as summary_md5 from documents")
+def _index(spark: SparkSession, d: str) -> Index:
+    """A new index of the documents, in the shared folder."""
+    index = Index(spark, scratch.new_path(spark, "index"))
+    index.add(_t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text"))
+    return index
+
+
+@query(r"select doc_id, md5(max(text)) as summary_md5 from documents where regexp_matches(text, '\S') group by doc_id")
 def catalog_info(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "documents").select("doc_id", F.md5(T.summary_input(F.col("text"))).alias("summary_md5"))
+    return _index(spark, d).info().select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("summary").alias("summary_md5"))
 
 
-@query("select doc_id, md5(text) as summary_md5 from documents where doc_id not in (select doc_id from labels where quality = 0)")
+@query(r"""select doc_id, md5(max(text)) as summary_md5 from documents where regexp_matches(text, '\S') and doc_id not in (select doc_id from labels where quality = 0) group by doc_id""")
 def catalog_delete(spark: SparkSession, d: str) -> DataFrame:
-    gone = _t(spark, d, "labels").where("quality = 0").select("doc_id")
-    return catalog_info(spark, d).join(gone, "doc_id", "left_anti")
+    index = _index(spark, d)
+    index.delete(_t(spark, d, "labels").where("quality = 0").select(F.col("doc_id").cast("string").alias("doc_id")))
+    return index.info().select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("summary").alias("summary_md5"))
+
+
+@query(r"""with chunks as (select doc_id, md5(regexp_replace(text, '\s+', '', 'g')) as body_md5 from (select doc_id, max(text) as text from documents where regexp_matches(text, '\S') group by doc_id))
+select doc_id, body_md5, 1 as same_postings from chunks""")
+def index_stored(spark: SparkSession, d: str) -> DataFrame:
+    """What the index has stored of each document: its chunks, glued, and whether the stored postings add up to their
+    words."""
+    index = _index(spark, d)
+    g = _glued(index.chunks(), ["doc_id"], ["chunk_index"], "chunk_text")
+    words = index.chunks().groupBy("doc_id").agg(F.sum(F.size(T.ws_tokens(F.col("chunk_text")))).alias("words"))
+    stored = index.postings().groupBy("doc_id").agg(F.sum("tf").alias("stored")).join(index.stats().select("doc_id", F.round(F.col("n_chunks") * F.col("avgdl")).cast("long").alias("counted")), "doc_id")
+    same = F.when((F.col("words") == F.col("stored")) & (F.col("words") == F.col("counted")), 1).otherwise(0)
+    return g.join(words, "doc_id").join(stored, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("glued").alias("body_md5"), same.alias("same_postings"))
 
 
 # --- pipelines -------------------------------------------------------------------------------------------------------
@@ -590,7 +634,7 @@ def _reports(spark: SparkSession, d: str) -> DataFrame:
             F.struct(F.lit(0.25).alias("average_retrieval_time_seconds"), (F.col("n") * by / F.lit(4.0)).alias("average_answer_time_seconds")).alias("runtime"), F.struct((F.col("n") * by).cast("double").alias("average_total_tokens")).alias("cost"),
         )
 
-    records = F.array(record("xrag_report", 1), record("hybrid_rag_report", 2), record("unknown", 9), record("flat_hybrid_rag_report", 3))
+    records = F.array(record("routed_rag_report", 1), record("hybrid_rag_report", 2), record("unknown", 9), record("flat_hybrid_rag_report", 3))
     llm = o.select("o_orderstatus", "o_orderpriority", F.struct(records.alias("benchmark")).alias("r")).groupBy("o_orderstatus").agg(F.map_from_entries(F.collect_list(F.struct("o_orderpriority", "r"))).alias("m"))
     return llm.groupBy().agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("o_orderstatus", "m")))).alias("value"))
 

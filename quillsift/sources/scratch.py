@@ -32,17 +32,22 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[sc.applicationId]
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path of its own in the shared folder, deleted by release() or at the end of the driver process."""
+    path, app = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}", spark.sparkContext.applicationId
+    if app not in _written:
+        _written[app] = []
+        atexit.register(release, spark)
+    _written[app].append(path)
+    return path
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df, computed once into Parquet in the shared folder and read again: later steps start from files that
     outlive any executor. The files stay until discard(), release() or the end of the driver process."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = new_path(spark, label)
     df.write.parquet(path)
-    app = spark.sparkContext.applicationId
-    if app not in _written:
-        _written[app] = []
-        atexit.register(release, spark)
-    _written[app].append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out

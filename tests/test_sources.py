@@ -138,15 +138,27 @@ def test_report(spark, tmp_path):
     def rec(name, f1):
         return {"report_name": name, "ragas": {"F1": f1, "Faithfulness": 0.5}, "runtime": {"average_retrieval_time_seconds": 1, "average_answer_time_seconds": 2}, "cost": {"average_total_tokens": 7}}
 
-    body = {"e": {"m": {"benchmark": [rec("xrag_report", 0.1), rec("hybrid_rag_report", 0.2), rec("flat_hybrid_rag_report", 0.3), rec("odd", 1)]}, "n": {"benchmark": []}, "o": 3}, "x": 4}
+    body = {"e": {"m": {"benchmark": [rec("routed_rag_report", 0.1), rec("xrag_report", 0.9), rec("hybrid_rag_report", 0.2), rec("flat_hybrid_rag_report", 0.3), rec("odd", 1)]}, "n": {"benchmark": []}, "o": 3}, "x": 4}
     path = tmp_path / "r.json"
     path.write_text(json.dumps(body))
     got = report.read_report(spark, str(path)).orderBy("method_no").collect()
     assert [(r.embedding, r.llm, r.method, r.f1, r.total_time_seconds, r.total_tokens) for r in got] == [("e", "m", "routed_rag", 0.1, 3.0, 7.0), ("e", "m", "flat_hybrid_rag", 0.3, 3.0, 7.0)]
+    own = report.read_report(spark, str(path), {"mine": ("xrag_report",)}).collect()
+    assert [(r.method, r.method_no, r.f1) for r in own] == [("mine", 0, 0.9)]
     path.write_text("{}")
     with pytest.raises(ValueError, match="no benchmark records"):
         report.read_report(spark, str(path))
     rows = spark.createDataFrame([(1.0, 2.0, 0, 1, 2, 3)], ", ".join(f"{c} double" if "time" in c else f"{c} long" for c in evaluate.MEANS))
     report.write_report(str(tmp_path / "out.json"), {"top_k": 5}, evaluate.metric_means(rows.withColumn("F1", F.lit(0.5)), ["F1", "zz"]), evaluate.summarize(rows), rows)
+    shown = report.console_report("run", evaluate.metric_means(rows.withColumn("F1", F.lit(0.5)), ["F1", "zz"]), evaluate.summarize(rows), 3.21)
+    assert "0.5000" in shown and "zz" in shown and "average answer time seconds" in shown and shown.endswith("3.2") and max(map(len, shown.split("\n"))) == 60
     out = json.loads((tmp_path / "out.json").read_text())
     assert out["ragas"] == {"F1": 0.5, "skipped_metrics": ["zz"]} and out["runtime"]["average_answer_time_seconds"] == 2.0 and len(out["per_question"]) == 1
+
+
+def test_cases_of_a_question_set(spark, tmp_path):
+    rows = [(i, None if i % 2 else f"doc {i}", f"context {i}", f"q {i}", f"a {i}") for i in range(7, 0, -1)]
+    spark.createDataFrame(rows, "no long, document string, context string, question string, answer string").write.parquet(f"{tmp_path}/set")
+    read = texts.read_cases(spark, f"{tmp_path}/set", "no", 3)
+    cases = evaluate.build_cases(read, "no").orderBy("file").collect()
+    assert [(c.file, c.document, c.questions[0].id, c.questions[0].question) for c in cases] == [("case_001", "context 1", "case_001", "q 1"), ("case_002", "doc 2", "case_002", "q 2"), ("case_003", "context 3", "case_003", "q 3")]
