@@ -34,6 +34,8 @@ class Kind:
     against: frozenset[str]
     #: Strings of which every text with a span of the kind has one; texts without any are skipped.
     needs: tuple[str, ...]
+    #: The same of the text in lower case; none if empty.
+    words: tuple[str, ...] = ()
 
 
 def luhn(digits: str) -> bool:
@@ -57,20 +59,25 @@ SECRET = re.compile(
     r"(?i)(?<![a-z0-9])(?:api[_-]?key|access[_-]?key|secret|token|passw(?:or)?d|pwd)[\"']?\s{0,3}(?>:=|=>|={1,3}|::?)\s{0,3}"
     r"(?:\"(?P<double>(?:\\.|[^\"\\\n]){12,}+)\"|'(?P<single>(?:\\.|[^'\\\n]){12,}+)'"
     r"|(?:\"(?!(?:\\.|[^\"\\\n])*+\")|'(?!(?:\\.|[^'\\\n])*+')|(?![\"']))(?P<bare>\S{12,}))"
-    r"|(?<![a-z0-9_-])(?P<known>(?-i:A[KS]IA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{22,}|sk-[A-Za-z0-9_-]{20,}|xox[abeoprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}"
-    r"|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]*)?)(?![a-z0-9_-]))"
-    r"|(?<![a-z0-9])bearer\s{1,3}(?P<bearer>[a-z0-9._~+/=-]{16,})"
+)
+#: Secrets that need no name before them: cloud, code host and chat keys, signed tokens, bearer tokens, private keys in PEM
+#: (to the end mark, or else to the next dashes).
+KNOWN = re.compile(
+    r"(?<![A-Za-z0-9_-])(?P<key>A[KS]IA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{22,}|sk-[A-Za-z0-9_-]{20,}|xox[abeoprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}"
+    r"|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]*)?)(?![A-Za-z0-9_-])"
+    r"|(?<![A-Za-z0-9])(?:[Bb]earer|BEARER)\s{1,3}(?P<bearer>[A-Za-z0-9._~+/=-]{16,})"
     r"|-----BEGIN\ (?P<pem>[A-Z0-9 ]{0,40}PRIVATE\ KEY-----(?:[^-]|-(?!----))*+(?:-----END\ [A-Z0-9 ]{0,40}-----)?)"
 )
-#: A secret needs a name and a sign after it, or is of a known form: cloud, code host and chat keys, signed tokens, bearer
-#: tokens, private keys in PEM (to its end mark, or else to the next dashes).
-SECRET_NEEDS = ("=", ":", "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "sk-", "xox", "AIza", "eyJ", "earer ", "EARER ", "PRIVATE KEY-----")
+KNOWN_NEEDS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "sk-", "xox", "AIza", "eyJ", "earer", "BEARER", "PRIVATE KEY-----")
+#: Words of which, in lower case, every named secret has one.
+SECRET_WORDS = ("key", "secret", "token", "passw", "pwd")
 DIGITS = tuple("0123456789")
 _W = frozenset
 PHONE = _W("phone tel telephone mobile call fax telefon teléfono téléphone handy móvil".split())
 KINDS = (
     Kind("email", re.compile(r"(?<![\w.+%-])\w[\w.+%-]{0,63}@(?:[^\W_](?:[\w-]{0,62}[^\W_])?\.){1,8}[^\W\d_]{2,24}(?![\w@-])"), 0.9, _W("email mail contact kontakt correo courriel".split()), _W(), ("@",)),
-    Kind("secret", SECRET, 0.85, _W("key auth bearer credentials".split()), _W("example placeholder".split()), SECRET_NEEDS),
+    Kind("secret", SECRET, 0.85, _W("key auth bearer credentials".split()), _W("example placeholder".split()), ("=", ":"), SECRET_WORDS),
+    Kind("secret", KNOWN, 0.85, _W("key auth bearer credentials".split()), _W("example placeholder".split()), KNOWN_NEEDS),
     # looked ahead at, as a match may run on into the next one
     Kind("iban", re.compile(r"(?<![A-Za-z0-9])(?=(?P<ahead>[A-Za-z]{2}\d{2}(?: ?[A-Za-z0-9]){11,30}(?![A-Za-z0-9])))"), 0.2, _W("iban bank account konto compte cuenta".split()), _W(), DIGITS),
     Kind("card", re.compile(r"\d+(?:[ -]\d+)*"), 0.2, _W("card visa mastercard amex credit karte carte tarjeta".split()), _W(), DIGITS),
@@ -195,16 +202,33 @@ def _within(start: int, end: int, spans: list[tuple[int, int]]) -> bool:
     return i >= 0 and end <= spans[i][1] and (start, end) != spans[i]
 
 
+def _named(pattern: re.Pattern, text: str, low: str) -> Iterator[re.Match]:
+    """pattern.finditer(text) for named secrets: tried only where a name may begin, as seen in low."""
+    starts = set()
+    for w in SECRET_WORDS:
+        at = low.find(w)
+        while at >= 0:
+            # names that end in key begin up to 7 characters before it: api_key, access_key
+            starts.update(range(max(0, at - 7), at + 1) if w == "key" else (at,))
+            at = low.find(w, at + 1)
+    end = 0
+    for at in sorted(starts):
+        if at >= end and (m := pattern.match(text, at)):
+            yield m
+            end = m.end()
+
+
 def find(text: str | None, threshold: float = THRESHOLD) -> list[tuple[str, int, int, float, bool]]:
     """(kind, start, end, score, checksum passed) of the spans in a text, by start. Where spans overlap the one of the
     higher score stays, then the earlier, then the longer; parts of a secret or an IBAN give way to it. Null has none."""
     if not text:
         return []
-    found = []
+    found, low = [], text.lower()
     for k in KINDS:
-        if not any(c in text for c in k.needs):
+        if not any(c in text for c in k.needs) or k.words and not any(w in low for w in k.words):
             continue
-        for before, start, end in (p for m in k.pattern.finditer(text) for p in _proposed(k.name, text, m)):
+        matches = _named(k.pattern, text, low) if k.words and len(low) == len(text) else k.pattern.finditer(text)
+        for before, start, end in (p for m in matches for p in _proposed(k.name, text, m)):
             checked, score = _checked(k.name, text[start:end]) if end > start else (False, -1.0)
             around = text[max(0, before - WINDOW) : before] + " " + text[end : end + WINDOW]
             words = set(WORD.findall(around.lower()))
@@ -214,9 +238,13 @@ def find(text: str | None, threshold: float = THRESHOLD) -> list[tuple[str, int,
                 found.append((k.name, start, end, round(score, 4), checked))
     # nothing within a secret or an IBAN may take its place, as the rest of it would stay
     for kind in ("secret", "iban"):
-        whole = [f[1:3] for f in found if f[0] == kind]  # in order, apart from each other
+        whole: list[tuple[int, int]] = []  # in order, apart from each other: of overlapping ones the earlier, then the longer
+        for a, b in sorted((f[1:3] for f in found if f[0] == kind), key=lambda s: (s[0], -s[1])):
+            if not whole or a >= whole[-1][1]:
+                whole.append((a, b))
         if whole:
-            found = [f for f in found if not _within(f[1], f[2], whole)]
+            stay = set(whole)
+            found = [f for f in found if (f[0] != kind or f[1:3] in stay) and not _within(f[1], f[2], whole)]
     found.sort(key=lambda f: (-f[3], f[1], -f[2]))
     kept: list[tuple[str, int, int, float, bool]] = []  # by start; they don't overlap, so two neighbours decide
     for f in found:
@@ -238,7 +266,7 @@ def redact(text: str | None, threshold: float = THRESHOLD) -> str | None:
 
 
 #: Texts that no pattern can match are not sent to Python.
-MAY_HOLD = r"[0-9@=:]|A[KS]IA|gh[pousr]_|github_pat_|sk-|xox|AIza|eyJ|(?i:bearer) |PRIVATE KEY-----"
+MAY_HOLD = r"[0-9@=:]|A[KS]IA|gh[pousr]_|github_pat_|sk-|xox|AIza|eyJ|[Bb]earer|BEARER|PRIVATE KEY-----"
 
 
 def pii_spans(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

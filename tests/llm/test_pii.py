@@ -207,6 +207,16 @@ def test_nothing_of_a_long_secret_stays(n):
         assert value[-8:] not in redact(text) and redact(text).count("<SECRET>") == 1
 
 
+def test_named_secrets_are_looked_for_where_they_may_be():
+    from quillsift.llm.pii import SECRET, _named
+
+    r = random.Random(12)
+    bits = ["api_key", "apikey", "API-Key", "access_key", "AccessKey", "key", "token", "passwd", "Password", "pwd", "secret", "x", " ", "=", ": ", '"', "'", "abcdefgh1234", "-", "9", "k", "token="]
+    for _ in range(3000):
+        t = "".join(r.choice(bits) for _ in range(r.randint(1, 25)))
+        assert [m.span() for m in _named(SECRET, t, t.lower())] == [m.span() for m in SECRET.finditer(t)], t
+
+
 # --- a detector that shares nothing with the patterns: every substring is put to plain predicates ----------------------
 
 NEAR = {"email": {"mail", "email"}, "iban": {"iban", "bank"}, "card": {"card", "visa"}, "phone": {"phone", "tel", "call"}, "ssn": {"ssn", "social"}, "ip": {"ip", "host", "server"}, "secret": {"key", "auth"}}
