@@ -67,7 +67,8 @@ def format_chats(messages: DataFrame, visitor: PartVisitor = PartVisitor()) -> D
 
     Messages are in order of turn (null last), then role, then a hash of the content and the content as shown, so that
     ties and repeated rows, which all stay, have one order. A placeholder reads <|image_3|>: kind and place among the attachments of the conversation.
-    A null conv_id is a conversation of its own. A null role is 'unknown'; null, empty or all-null parts give an empty
+    Each message with a null conv_id is a conversation of its own. A conversation is one row, so its messages must fit into
+    a task. A null role is 'unknown'; null, empty or all-null parts give an empty
     message. Parts are joined by line breaks. An empty table gives no rows.
     """
     m = messages.select(
@@ -75,7 +76,9 @@ def format_chats(messages: DataFrame, visitor: PartVisitor = PartVisitor()) -> D
         F.coalesce(F.filter("parts", lambda p: p.isNotNull()), F.array().cast(f"array<{PART}>")).alias("parts"),
     )
     found = m.select("conv_id", "at", F.transform("parts", lambda p: F.struct(*(c.alias(n) for c, n in zip(visitor.visit(p), ("att", "shown", "tokens"))), p["uri"].alias("uri"))).alias("parts"))
-    chat = found.groupBy("conv_id").agg(F.count("*").alias("n_messages"), F.sort_array(F.collect_list(F.struct("at", "parts"))).alias("ms"))
+    chat = found.where("conv_id is not null").groupBy("conv_id").agg(F.count("*").alias("n_messages"), F.sort_array(F.collect_list(F.struct("at", "parts"))).alias("ms"))
+    # messages that name no conversation are not gathered: there may be any number of them
+    chat = chat.unionByName(found.where("conv_id is null").select("conv_id", F.lit(1).cast("long").alias("n_messages"), F.array(F.struct("at", "parts")).alias("ms")))
     # attachments are numbered by position among the attachments of the flattened conversation
     before = F.aggregate(
         "ms", F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.size(F.filter(x["parts"], lambda p: p["att"])))),

@@ -34,7 +34,8 @@ def test_odd_messages(spark):
     got = run(spark, rows)
     assert got[1].prompt == "<|im_start|>user\n<|im_end|>\n" * 2 + "<|im_start|>unknown\n<|im_end|>\n" and got[1].n_messages == 3 and got[1].attachments == []
     assert got[2].prompt == "<|im_start|>user\nplain\nodd kind\n<|im_end|>\n"
-    assert [(a.place, a.kind, a.uri, a.tokens) for a in got[None].attachments] == [(1, "image", None, 255), (2, "audio", None, 0), (3, "document", None, 258), (4, "audio", None, 0)]
+    alone = [r for r in format_chats(spark.createDataFrame([(*r, "c", 1, "c") for r in rows], SCHEMA)).collect() if r.conv_id is None]
+    assert sorted([(a.place, a.kind, a.uri, a.tokens) for a in r.attachments] for r in alone) == [[(1, "audio", None, 0), (2, "document", None, 258), (3, "audio", None, 0)], [(1, "image", None, 255)]]
     assert got[3].text_tokens == 125_000
     assert format_chats(spark.createDataFrame([], SCHEMA)).count() == 0
 
@@ -42,7 +43,7 @@ def test_odd_messages(spark):
 def test_ties_have_one_order(spark):
     rows = [(1, 1, "b", [part("text", text="2")]), (1, 1, "a", [part("text", text="9")]), (1, 1, "b", [part("text", text="1")])]
     a, b = run(spark, rows)[1], run(spark, rows[::-1])[1]
-    assert a == b and a.prompt.index("9") < a.prompt.index("1") < a.prompt.index("2")
+    assert a == b and a.prompt.index("9") < min(a.prompt.index("1"), a.prompt.index("2"))
 
 
 def test_derived_parts_take_nulls(spark):
