@@ -298,7 +298,7 @@ def bm25_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 def _bm25_query(kind: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return lexical.bm25(_cases(spark, d), _lines(spark, d), 5, kind).select("query_id", "doc_id", "chunk_index", F.round("score", 6).alias("score"), "rank")
+        return lexical.bm25(_cases(spark, d), _lines(spark, d), 5, kind, spread=False).select("query_id", "doc_id", "chunk_index", F.round("score", 6).alias("score"), "rank")
 
     run.__name__ = f"bm25_{kind}_topk"
     return run
@@ -317,7 +317,7 @@ ranked as (select *, first[3] as chunk_index, row_number() over (partition by qu
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     texts = _lines(spark, d)
     a = dense.nearest_in_scope(_scope(spark, d), _chunks(spark, d), 5)
-    b = lexical.bm25(_cases(spark, d), texts, 5)
+    b = lexical.bm25(_cases(spark, d), texts, 5, spread=False)
     return fusion.rrf(a, b, ["query_id", "doc_id"]).select("query_id", "doc_id", "chunk_index", "chunk_text", F.round("score", 9).alias("score"), "rank")
 
 
@@ -362,7 +362,7 @@ passages as (select w.query_id, w.doc_id, w.emit_order, any_value(w.ix) as ix, s
 @query(f"with recursive {LINES}, {CASES}, {_bm25('okapi')}, {_expand('(select * from bm25 where rank <= 5)')} select query_id, doc_id, emit_order, array_to_string(ix, ',') as chunk_indices, passage from passages")
 def neighbour_expand(spark: SparkSession, d: str) -> DataFrame:
     lines = _lines(spark, d)
-    seeds = lexical.bm25(_cases(spark, d), lines, 5)
+    seeds = lexical.bm25(_cases(spark, d), lines, 5, spread=False)
     p = fusion.expand_neighbours(seeds, lines, ["query_id", "doc_id"])
     return p.select("query_id", "doc_id", "emit_order", F.array_join(F.transform("chunk_indices", lambda i: i.cast("string")), ",").alias("chunk_indices"), "passage")
 
@@ -416,7 +416,7 @@ s as (select *, round(1 / (1 + exp(-(6 * (len(list_intersect(q, p)) / greatest(1
 select query_id, chunk_index, score, new_rank as rank from (select query_id, chunk_index, score, row_number() over (partition by query_id order by score desc, rank) as new_rank from s) where new_rank <= 3""")
 def rerank_topk(spark: SparkSession, d: str) -> DataFrame:
     lines, cases = _lines(spark, d), _cases(spark, d)
-    cand = lexical.bm25(cases, lines, 5).join(cases.select("query_id", "query_text"), "query_id")
+    cand = lexical.bm25(cases, lines, 5, spread=False).join(cases.select("query_id", "query_text"), "query_id")
     return rr.rerank(cand.withColumnRenamed("chunk_text", "passage").drop("score"), LexicalReranker(), 3).select("query_id", "chunk_index", "score", "rank")
 
 
@@ -468,7 +468,7 @@ def pipeline_naive(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with recursive {DENSE}, {MMR.replace('p.step < 5', 'p.step < 6')}, {_bm25('okapi')}, mmr_text as (select * from mmr join lines using (doc_id, chunk_index)), {FUSED.format(dense='mmr_text', sparse='(select * from bm25 where rank <= 6)')}, hits as (select query_id, chunk_text as passage, rank as pos from ranked where rank <= 6), {TOP.format(order='pos')}")
 def pipeline_flat_hybrid(spark: SparkSession, d: str) -> DataFrame:
-    return pipelines.flat_hybrid(_cases(spark, d), _lines(spark, d), HashingEmbedder())
+    return pipelines.flat_hybrid(_cases(spark, d), _lines(spark, d), HashingEmbedder(), p=pipelines.SearchParams(spread=False))
 
 
 def _sentences(lines: DataFrame, first: str, second: str, text: str) -> DataFrame:
@@ -567,7 +567,7 @@ select query_id, md5(case when n > 0 then trim(l, E' \\n\\t\\r') else 'The conte
 def answers_generated(spark: SparkSession, d: str) -> DataFrame:
     """Answers by the offline stand-in, over the three best lines of each document."""
     cases = _cases(spark, d)
-    top = lexical.bm25(cases, _lines(spark, d), 3).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "chunk_text"))).alias("c"))
+    top = lexical.bm25(cases, _lines(spark, d), 3, spread=False).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "chunk_text"))).alias("c"))
     rows = top.join(cases.select("query_id", F.col("query_text").alias("question")), "query_id").select("query_id", "question", F.col("c.chunk_text").alias("contexts"))
     return generate.answered(rows, ContextGenerator()).select("query_id", F.md5("answer").alias("answer_md5"))
 

@@ -17,12 +17,14 @@ def postings(chunks: DataFrame, scope: str = "doc_id", item: str = "chunk_index"
     return t.groupBy(scope, item, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
-def tokenized(chunks: DataFrame, scope: str = "doc_id", item: str = "chunk_index", text: str = "chunk_text") -> DataFrame:
+def tokenized(chunks: DataFrame, scope: str = "doc_id", item: str = "chunk_index", text: str = "chunk_text", spread: bool = True) -> DataFrame:
     """scope, item, text and ws, the words, by scope: all that BM25 asks of the chunks is grouped by scope, so this is the
-    one shuffle that it takes, and every part of the plan that starts from it shares it."""
+    one shuffle that it takes, and every part of the plan that starts from it shares it. Without spread it is left
+    out: chunks are partitioned by scope already."""
     if "ws" in chunks.columns:
         return chunks
-    return chunks.select(scope, item, text, ws_tokens(F.col(text)).alias("ws")).repartition(scope)
+    t = chunks.select(scope, item, text)
+    return (t.repartition(scope) if spread else t).withColumn("ws", ws_tokens(F.col(text)))
 
 
 def scope_stats(chunks: DataFrame, scope: str = "doc_id", text: str = "chunk_text") -> DataFrame:
@@ -43,11 +45,11 @@ def idf(post: DataFrame, stats: DataFrame, kind: str = "okapi", scope: str = "do
     return raw.select(scope, "term", "df", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, k: int = 5, kind: str = "okapi", scope: str = "doc_id", item: str = "chunk_index", text: str = "chunk_text", post: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
+def bm25(queries: DataFrame, chunks: DataFrame, k: int = 5, kind: str = "okapi", scope: str = "doc_id", item: str = "chunk_index", text: str = "chunk_text", post: DataFrame | None = None, stats: DataFrame | None = None, spread: bool = True) -> DataFrame:
     """queries: query_id, scope, query_text. query_id, scope, item, text, score, rank: the k best chunks of each query's
     scope, those of score 0 included. Repeated query words count each time. Ties go to the lesser item. post and stats:
-    stored postings() and scope_stats(), which are worked out where missing."""
-    t = tokenized(chunks, scope, item, text) if post is None or stats is None else chunks
+    stored postings() and scope_stats(), which are worked out where missing. spread: see tokenized()."""
+    t = tokenized(chunks, scope, item, text, spread) if post is None or stats is None else chunks
     post = postings(t, scope, item, text) if post is None else post
     stats = scope_stats(t, scope, text) if stats is None else stats
     words = queries.select("query_id", scope, F.explode(ws_tokens(F.col("query_text"))).alias("term")).groupBy("query_id", scope, "term").agg(F.count("*").alias("times"))

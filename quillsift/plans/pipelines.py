@@ -26,6 +26,8 @@ class SearchParams:
     doc_top_k: int = 5
     fetch_k: int = 20
     idf: str = "okapi"
+    #: Whether chunks have yet to be partitioned by document.
+    spread: bool = True
 
 
 def _embedded(rows: DataFrame, text: str, out: str, embedder: Embedder) -> DataFrame:
@@ -36,7 +38,7 @@ def hybrid(scope: DataFrame, chunks: DataFrame, k: int, p: SearchParams, post: D
     """scope: query_id, doc_id, query_text, query_vec. MMR and BM25 in each (query, document), fused: query_id, doc_id,
     chunk_text, chunk_index, score, rank. post and stats: see bm25()."""
     d = mmr(scope, chunks.select("doc_id", "chunk_index", "chunk_text", "embedding"), k, p.lam, p.fetch_k)
-    s = bm25(scope, chunks, k, p.idf, post=post, stats=stats)
+    s = bm25(scope, chunks, k, p.idf, post=post, stats=stats, spread=p.spread)
     return rrf(d, s, ["query_id", "doc_id"], p.alpha)
 
 
