@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from quillsift.llm.common import free, join_hot, maybe_broadcast, text_key, without_rows, written
 from quillsift.llm.components import components
-from quillsift.llm.simhash import Tables, fingerprints, near_edges
+from quillsift.llm.simhash import Balls, Tables, fingerprints, near_edges
 
 RADIUS, BLOCKS, MATCH = 20, 16, 2
 
 
-def _roots(rows: DataFrame, tables: Tables) -> DataFrame:
+def _roots(rows: DataFrame, tables: Tables | Balls) -> DataFrame:
     """(fp, root, n, least) for each fingerprint of rows (doc_id, fp): its group, and rows and least doc_id with it."""
     fps = written(rows.where("fp is not null").groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")), "distinct-fingerprints")
     root = components(near_edges(fps, tables), "near-copies")
@@ -29,16 +29,16 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, mat
     return join_hot(rows, root, "fp", "n").select("doc_id", "key", "root")
 
 
-def simhash_groups(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, match: int = MATCH, text_col: str = "text") -> DataFrame:
+def simhash_groups(docs: DataFrame, radius: int = RADIUS, text_col: str = "text") -> DataFrame:
     """Operator 6 as a report. One row for each row of docs, repeated rows included: doc_id, class_id (the least doc_id
     of its group of near copies), n_links (the other rows of the group, to which a chain of near copies links it). Null
     ids count as rows; class_id is null if the group has no other. A document without a word is a group by itself.
 
-    128-bit fingerprints, 16 blocks of 8 bits. Pairs that share 2 blocks are compared: sure for up to 14 differing
-    bits; at the radius of 20, 94 % of random flips leave 2 blocks, and groups close over third members.
+    128-bit fingerprints, whose every pair within radius bits is a link, whatever the size of the table: 7 blocks of 18
+    or 19 bits at the radius of 20, of which such a pair differs in at most 2 bits of one.
     """
     rows = written(fingerprints(docs.select("doc_id", text_col), ["doc_id"], text_col), "doc-fingerprints")
-    of = written(_roots(rows, Tables(16, blocks, match, radius)), "near-copy-groups")
+    of = written(_roots(rows, Balls(16, radius)), "near-copy-groups")
     groups = of.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("n").alias("rows"), F.count("*").alias("fps"))
     classes = written(join_hot(of.select("fp", "root", "n"), written(groups, "near-copy-classes"), "root", "fps").select("fp", "class_id", "rows", "n"), "fingerprint-classes")
     out = join_hot(rows, classes, "fp", "n")

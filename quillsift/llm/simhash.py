@@ -100,10 +100,11 @@ class Tables:
     """The permuted tables of fingerprints of nbytes: one for each choice of match of the blocks, which are its key.
 
     Two fingerprints that differ in at most sure = blocks - match bits share the key of some table (pigeonhole). A key
-    with more than most fingerprints is not compared as it is: the bits that are not in the key are cut into sure + 1
-    parts, of which such a pair shares one, and each part makes a longer key. So keys grow with the corpus and hot ones
-    are split. A longer key that is still too large belongs to fingerprints that are close to each other: its rows
-    are dealt into chunks of most rows, and every two chunks are compared somewhere. No pair gets lost by either.
+    with more than most fingerprints is not compared as it is: the bits that are not in the key are cut into radius + 1
+    parts, of which a pair within the radius shares one, and each part makes a longer key. So keys grow with the corpus
+    and hot ones are split. A longer key that is still too large belongs to fingerprints that are close to each other:
+    its rows are dealt into chunks of most rows, and every two chunks are compared somewhere. No pair within the radius
+    that shares a key gets lost by either, so what is found does not depend on most.
     """
 
     nbytes: int
@@ -116,6 +117,29 @@ class Tables:
     def sure(self) -> int:
         return self.blocks - self.match
 
+    def keys(self, raw: np.ndarray) -> np.ndarray:
+        """(tables, n): the keys of n fingerprints; a key holds the table and the match blocks in front."""
+        width, choices = self.nbytes * 8 // self.blocks, combos(self.blocks, self.match)
+        if len(choices) > 256:
+            raise ValueError("at most 256 tables")
+        v = block_values(raw, self.blocks).astype(np.int64)
+        keys = np.empty((len(choices), len(raw)), np.int64)
+        for t, c in enumerate(choices):
+            k = np.full(len(raw), t, np.int64)
+            for j in c:
+                k = k << width | v[:, j]
+            keys[t] = k
+        return keys
+
+    def table(self, key: np.ndarray) -> np.ndarray:
+        return key >> (self.match * (self.nbytes * 8 // self.blocks))
+
+    def own(self, table: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the table is the first of those that the fingerprints a and b share."""
+        same = block_values(a ^ b, self.blocks) == 0
+        lead = np.array(combos(self.blocks, self.match), np.int64)
+        return (np.argsort(~same, axis=1, kind="stable")[:, : self.match] == lead[table]).all(axis=1)
+
     def longer(self, key: int, raw: np.ndarray) -> Iterator[np.ndarray]:
         """For each part, the longer keys of the fingerprints of one key. They are mixed to 64 bits; if two should meet,
         strangers are compared, no more."""
@@ -123,7 +147,7 @@ class Tables:
         used = combos(self.blocks, self.match)[key >> (self.match * width)]
         rest = np.array([b for b in range(self.nbytes * 8) if b // width not in used])
         bits = np.unpackbits(raw, axis=1)
-        for j, at in enumerate(np.array_split(rest, self.sure + 1)):
+        for j, at in enumerate(np.array_split(rest, self.radius + 1)):
             value = bits[:, at].astype(np.uint64) @ (np.uint64(1) << np.arange(len(at), dtype=np.uint64))
             x = value + np.uint64((key * 0x9E3779B97F4A7C15 + (j + 1) * 0xD1B54A32D192ED03) & 0xFFFFFFFFFFFFFFFF)
             x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
@@ -131,28 +155,104 @@ class Tables:
             yield (x ^ x >> np.uint64(31)).view(np.int64)
 
 
-def block_tables(fps: DataFrame, tables: Tables) -> DataFrame:
-    """For each row of fps (fp, and asked if it is there), one row in each permuted table: key holds the table and the
-    match blocks in front."""
-    nbytes, blocks = tables.nbytes, tables.blocks
-    width, choices = nbytes * 8 // blocks, combos(blocks, tables.match)
-    if len(choices) > 256:
-        raise ValueError("at most 256 tables")
+@dataclass(frozen=True)
+class Balls:
+    """Keys that any two fingerprints of nbytes within radius bits share, however far the radius.
+
+    The bits are cut into radius // 3 + 1 blocks or more, so such a pair differs in at most 2 bits of some block, and
+    some value is within 1 bit of both its values there. The keys of a fingerprint are its blocks' values and those at 1
+    bit from them, with the number of the block: nbytes * 8 + blocks keys. A key with more than most fingerprints is
+    dealt into chunks, every two of which are compared somewhere.
+    """
+
+    nbytes: int
+    radius: int
+    most: int = 4096
+
+    #: The number of a block stands above its value.
+    SHIFT = 32
+
+    @property
+    def cuts(self) -> np.ndarray:
+        """The first bit of each block, and the end."""
+        bits = self.nbytes * 8
+        blocks = min(bits, max(self.radius // 3 + 1, -(-bits // self.SHIFT)))
+        return np.arange(blocks + 1) * bits // blocks
+
+    def _shifts(self) -> np.ndarray:
+        """(words, 3, blocks): how far right, then left, a word is shifted to give its part of a block, and that part's mask."""
+        found = np.zeros((self.nbytes // 8, 3, len(self.cuts) - 1), np.uint64)
+        for k, (begin, end) in enumerate(itertools.pairwise(self.cuts.tolist())):
+            for i in range(len(found)):
+                lo, hi = max(begin, 64 * i), min(end, 64 * i + 64)
+                if lo < hi:
+                    found[i, :, k] = 64 * i + 64 - hi, end - hi, ((1 << (hi - lo)) - 1) << (end - hi)
+        return found
+
+    @staticmethod
+    def _words(raw: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(raw).view(">u8").astype(np.uint64).T
+
+    def keys(self, raw: np.ndarray) -> np.ndarray:
+        """(keys, n): the keys of n fingerprints."""
+        words, found, shifts = self._words(raw), [], self._shifts()
+        for k, width in enumerate(np.diff(self.cuts)):
+            value = sum((w >> s[0] << s[1]) & s[2] for w, s in zip(words, shifts[:, :, k])).view(np.int64)
+            own = k << self.SHIFT | value
+            found += [own, *(own ^ (1 << j) for j in range(width))]
+        return np.stack(found)
+
+    def table(self, key: np.ndarray) -> np.ndarray:
+        return key
+
+    def own(self, table: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the key is the one to tell of the fingerprints a and b: in their first block with at most 2 bits of
+        difference, what both values have, with the lower of the bits that one value has more, if it has two."""
+        block, shifts = table >> self.SHIFT, self._shifts()
+        differ = self._words(a ^ b)
+        found = np.ones(len(a), bool)
+        for k in range(len(self.cuts) - 2):
+            apart = sum(np.bitwise_count(w & (s[2] >> s[1] << s[0])) for w, s in zip(differ, shifts[:, :, k]))
+            found &= (block <= k) | (apart > 2)
+        at = np.flatnonzero(found)
+        block = block[at]
+        x, y = (sum((w >> s[0, block] << s[1, block]) & s[2, block] for w, s in zip(self._words(r[at]), shifts)).view(np.int64) for r in (a, b))
+        e = x ^ y
+        two = (np.bitwise_count(x & e) == 2) | (np.bitwise_count(y & e) == 2)
+        found[at] = table[at] == (block << self.SHIFT | x & y | np.where(two, e & -e, 0))
+        return found
+
+    def longer(self, key: int, raw: np.ndarray) -> Iterator[np.ndarray]:
+        """The key itself: its rows are dealt into chunks."""
+        yield np.full(len(raw), key, np.int64)
+
+
+def packed(raw: np.ndarray) -> pa.Array:
+    """(n, bytes) fingerprints as a binary column."""
+    ends = np.arange(len(raw) + 1, dtype=np.int32) * np.int32(raw.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(raw))])
+
+
+def unpacked(col: pa.Array, nbytes: int) -> np.ndarray:
+    """(n, nbytes) fingerprints from a binary column without nulls."""
+    if not len(col):
+        return np.empty((0, nbytes), np.uint8)
+    _, ends, data = (col := col.cast(pa.binary())).buffers()
+    begin = int(np.frombuffer(ends, np.int32)[col.offset])
+    return np.frombuffer(data, np.uint8)[begin : begin + len(col) * nbytes].reshape(-1, nbytes)
+
+
+def block_tables(fps: DataFrame, tables: Tables | Balls) -> DataFrame:
+    """For each row of fps (fp, and asked if it is there), one row for each of its keys."""
     more = ["asked"] if "asked" in fps.columns else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in (b.slice(i, 2048) for i in range(0, b.num_rows, 2048)):
-                raw = np.frombuffer(b"".join(part.column(0).to_pylist()), np.uint8).reshape(-1, nbytes)
-                v = block_values(raw, blocks).astype(np.int64)
-                keys = np.empty((len(choices), len(raw)), np.int64)
-                for t, c in enumerate(choices):
-                    k = np.full(len(raw), t, np.int64)
-                    for j in c:
-                        k = k << width | v[:, j]
-                    keys[t] = k
-                cols = [pa.array(keys.ravel()), pa.array(list(map(bytes, raw)) * len(choices), pa.binary())]
-                cols += [pa.array(np.tile(part.column(1).to_numpy(zero_copy_only=False), len(choices)), pa.bool_())] if more else []
+                raw = unpacked(part.column(0), tables.nbytes)
+                keys = tables.keys(raw)
+                cols = [pa.array(keys.ravel()), packed(np.tile(raw, (len(keys), 1)))]
+                cols += [pa.array(np.tile(part.column(1).to_numpy(zero_copy_only=False), len(keys)), pa.bool_())] if more else []
                 yield pa.RecordBatch.from_arrays(cols, names=["key", "fp", *more])
 
     return fps.select("fp", *more).mapInArrow(run, "key long, fp binary" + ", asked boolean" * len(more))
@@ -160,7 +260,7 @@ def block_tables(fps: DataFrame, tables: Tables) -> DataFrame:
 
 @dataclass
 class _Piece:
-    """Rows sorted by key. table is None in the first tables, where the key holds it."""
+    """Rows sorted by key. table is None at first, where the key tells it."""
 
     key: np.ndarray
     raw: np.ndarray
@@ -180,7 +280,7 @@ class _Piece:
 
     @staticmethod
     def read(b: pa.RecordBatch, nbytes: int) -> _Piece:
-        raw = np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint8).reshape(-1, nbytes)
+        raw = unpacked(b.column("fp"), nbytes)
         table = b.column("tab").to_numpy() if "tab" in b.schema.names else None
         asked = b.column("asked").to_numpy(zero_copy_only=False).astype(bool) if "asked" in b.schema.names else None
         return _Piece(b.column("key").to_numpy(), raw, table, asked)
@@ -218,57 +318,50 @@ def _pieces(batches: Iterator[pa.RecordBatch], nbytes: int, most: int) -> Iterat
         yield open_[0], False
 
 
-def close_in_tables(p: _Piece, tables: Tables, step: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(i, j, distance) of rows with equal key, each pair in the first only of the tables that it shares. If rows are
-    marked as asked, i is such a row and j any other; else i < j."""
-    words = np.ascontiguousarray(p.raw).view(np.uint64).reshape(len(p.raw), -1)
-    width = tables.nbytes * 8 // tables.blocks
-    table = (p.key >> (tables.match * width)).astype(np.int64) if p.table is None else p.table
-    lead = np.array(combos(tables.blocks, tables.match), np.int64)
+def close_in_tables(p: _Piece, tables: Tables | Balls, step: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, distance) of rows with equal key, each pair in one only of the keys that it shares. If rows are marked as
+    asked, i is such a row and j any other; else i < j."""
+    words = np.ascontiguousarray(np.ascontiguousarray(p.raw).view(np.uint64).reshape(len(p.raw), -1).T)
+    table = tables.table(p.key) if p.table is None else p.table
     starts = np.flatnonzero(np.r_[True, p.key[1:] != p.key[:-1]])
     sizes = np.diff(np.r_[starts, len(p.key)])
 
-    def close(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        d = np.bitwise_count(words[a] ^ words[b]).sum(axis=1)
-        near = d <= tables.radius
-        a, b, d = a[near], b[near], d[near]
-        same = block_values(p.raw[a] ^ p.raw[b], tables.blocks) == 0
-        own = (np.argsort(~same, axis=1, kind="stable")[:, : tables.match] == lead[table[a]]).all(axis=1)
-        return a[own], b[own], d[own]
-
-    if p.asked is not None:
+    # row by row, the rows that it is compared with: size of them from begin on
+    if p.asked is None:
+        ask = np.arange(len(p.key))
+        begin = ask + 1
+        size = np.repeat(starts + sizes, sizes) - begin
+    else:
         ask = np.flatnonzero(p.asked)
         begin, size = np.repeat(starts, sizes)[ask], np.repeat(sizes, sizes)[ask]
-        upto = np.cumsum(size)
-        at = 0
-        while at < len(ask):
-            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + step, side="right")))
-            n = size[at:to]
-            a = np.repeat(ask[at:to], n)
-            b = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[at:to], n)
-            yield close(a[a != b], b[a != b])
-            at = to
-        return
-    end = np.repeat(starts + sizes, sizes)
-    left, off = np.arange(len(p.key)), 1
-    while len(left := left[left + off < end[left]]):
-        for at in range(0, len(left), step):
-            a = left[at : at + step]
-            found = close(a, a + off)
-            if len(found[0]):
-                yield found
-        off += 1
+    upto = np.cumsum(size)
+    at = 0
+    while at < len(ask):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + step, side="right")))
+        n = size[at:to]
+        b = np.arange(n.sum()) + np.repeat(begin[at:to] - np.cumsum(n) + n, n)
+        d = np.bitwise_count(words[0][b] ^ np.repeat(words[0][ask[at:to]], n))
+        near = np.flatnonzero(d <= tables.radius)
+        a, b, d = ask[at + np.searchsorted(np.cumsum(n), near, side="right")], b[near], d[near]
+        for w in words[1:]:
+            d = d + np.bitwise_count(w[a] ^ w[b])
+        near = (d <= tables.radius) & (a != b)
+        a, b, d = a[near], b[near], d[near]
+        own = tables.own(table[a], p.raw[a], p.raw[b])
+        if own.any():
+            yield a[own], b[own], d[own]
+        at = to
 
 
 #: What a task finds: pairs, and rows that go on: their next key, table, and chunk of a key that is dealt out.
-FOUND = "u binary, v binary, distance int, key long, tab int, fp binary, asked boolean, chunk int"
+FOUND = "u binary, v binary, distance int, key long, tab long, fp binary, asked boolean, chunk int"
 
 
-def _matched(fps: DataFrame, tables: Tables, forest: bool) -> DataFrame:
+def _matched(fps: DataFrame, tables: Tables | Balls, forest: bool) -> DataFrame:
     """(u, v, distance) of the close pairs of all tables. With forest, only so many as join the same fingerprints within
     each piece."""
     names = [f.split()[0] for f in FOUND.split(", ")]
-    kinds = [pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.bool_(), pa.int32()]
+    kinds = [pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.int32()]
 
     def batch(**cols: pa.Array) -> pa.RecordBatch:
         n = len(next(iter(cols.values())))
@@ -290,12 +383,12 @@ def _matched(fps: DataFrame, tables: Tables, forest: bool) -> DataFrame:
 
     def hot_rows(p: _Piece, seen: int) -> Iterator[pa.RecordBatch]:
         """Rows of one too large key, of which seen rows came before."""
-        cols = {"fp": pa.array(list(map(bytes, p.raw)), pa.binary())} | ({} if p.asked is None else {"asked": pa.array(p.asked)})
+        cols = {"fp": packed(p.raw)} | ({} if p.asked is None else {"asked": pa.array(p.asked)})
         if p.table is not None:
             yield batch(key=pa.array(p.key), tab=pa.array(p.table), chunk=pa.array((np.arange(len(p.key)) + seen) // tables.most), **cols)
             return
         key = int(p.key[0])
-        tab = pa.array(np.full(len(p.key), key >> (tables.match * (tables.nbytes * 8 // tables.blocks))))
+        tab = pa.array(tables.table(p.key))
         for keys in tables.longer(key, p.raw):
             yield batch(key=pa.array(keys), tab=tab, **cols)
 
@@ -311,7 +404,7 @@ def _matched(fps: DataFrame, tables: Tables, forest: bool) -> DataFrame:
                 pairs = close_in_tables(p, tables)
                 for a, b, d in thinned(pairs, len(p.key)) if forest else pairs:
                     if len(a):
-                        yield batch(u=pa.array(list(map(bytes, p.raw[a])), pa.binary()), v=pa.array(list(map(bytes, p.raw[b])), pa.binary()), distance=pa.array(d.astype(np.int32)))
+                        yield batch(u=packed(p.raw[a]), v=packed(p.raw[b]), distance=pa.array(d.astype(np.int32)))
 
         done = written(rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, FOUND), "near-in-tables")
         return done.where("u is not null").select("u", "v", "distance"), done.where("key is not null")
@@ -330,14 +423,14 @@ def _matched(fps: DataFrame, tables: Tables, forest: bool) -> DataFrame:
     return first.union(second.distinct())
 
 
-def near_pairs(fps: DataFrame, tables: Tables) -> DataFrame:
-    """(u, v, distance): all pairs of the distinct fps that share the key of a table and differ in at most radius bits; all
-    within the radius, if that is no more than tables.sure. With a column asked in fps, u is a fingerprint that is
+def near_pairs(fps: DataFrame, tables: Tables | Balls) -> DataFrame:
+    """(u, v, distance): all pairs of the distinct fps that share a key and differ in at most radius bits: with Balls all
+    within the radius; with Tables too, if that is no more than tables.sure. With a column asked in fps, u is a fingerprint that is
     asked for and v any other; else every pair comes once, in either order."""
     return _matched(fps, tables, forest=False)
 
 
-def near_edges(fps: DataFrame, tables: Tables) -> DataFrame:
+def near_edges(fps: DataFrame, tables: Tables | Balls) -> DataFrame:
     """(u, v) that join the same fps as near_pairs does, thinned to a spanning forest within each piece of a table:
     a group of m close fingerprints gives at most m - 1 edges there and not m * (m - 1) / 2."""
     return _matched(fps.select("fp"), tables, forest=True).select("u", "v")

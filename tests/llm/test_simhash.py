@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillsift.llm.components import components
 from quillsift.llm.dedup import simhash_dedup, simhash_groups
 from quillsift.llm.common import join_hot, written
-from quillsift.llm.simhash import Tables, fingerprint, fingerprint_search, near_edges, near_pairs
+from quillsift.llm.simhash import Balls, Tables, fingerprint, fingerprint_search, near_edges, near_pairs
 
 from .conftest import docs_frame
 
@@ -93,6 +93,48 @@ def test_recall_at_the_dedup_radius(spark, most):
     assert len(edge) > 50 and len(edge & got) >= 0.9 * len(edge)
 
 
+def test_tables_find_the_same_whatever_is_split(spark):
+    """Pairs of 15 differing bits, dealt out evenly, in a key that is split if most is 20."""
+    rng = random.Random(9)
+    fps = []
+    for _ in range(30):
+        a = 0x0102 << 112 | rng.getrandbits(112)
+        b = a ^ sum(1 << 127 - int(rng.choice(at)) for at in np.array_split(np.arange(16, 128), 15))
+        fps += [a.to_bytes(16, "big"), b.to_bytes(16, "big")]
+    df = spark.createDataFrame([(bytearray(f),) for f in fps], "fp binary")
+    for most in (4096, 20):
+        assert set(ordered(near_pairs(df, Tables(16, 16, 2, 20, most)).collect())) == brute(sorted(fps), 20), most
+
+
+@pytest.mark.parametrize("bits, radius, most", [(128, 20, 4096), (128, 20, 20), (64, 7, 20)])
+def test_balls_find_all_pairs_within_the_radius_once(spark, bits, radius, most):
+    """Keys dealt into chunks, too."""
+    fps = near_set(400, bits, 7, max(1, radius * 11 // 20))
+    fps = sorted({*fps, *(bytes(bits // 8 - 1) + bytes([i]) for i in range(40))})
+    df = spark.createDataFrame([(bytearray(f),) for f in fps], "fp binary")
+    got = ordered(near_pairs(df, Balls(bits // 8, radius, most)).collect())
+    assert len(got) == len(set(got))
+    assert set(got) == brute(fps, radius)
+
+
+def far_pairs():
+    """Rows of texts two by two, each two within 15 to 20 bits and equal in fewer than 2 of 16 bytes."""
+    rng = random.Random(8)
+    rows = []
+    while len(rows) < 16:
+        a = [f"{rng.randrange(10**6)}w" for _ in range(60)]
+        b = mutate(rng, a, 0.1)
+        u, v = plain(" ".join(a)), plain(" ".join(b))
+        if distance(u, v) <= 20 and sum(x == y for x, y in zip(u, v)) < 2:
+            rows += [(len(rows), " ".join(a), "s"), (len(rows) + 1, " ".join(b), "s")]
+    return rows
+
+
+def test_groups_link_pairs_of_few_equal_blocks(spark):
+    got = {r.doc_id: (r.class_id, r.n_links) for r in simhash_groups(docs_frame(spark, far_pairs())).collect()}
+    assert got == {i: (i // 2 * 2, 1) for i in range(16)}
+
+
 @pytest.mark.parametrize("most", [4096, 20])
 def test_edges_join_what_pairs_join(spark, most):
     fps = near_set(400, 128, 3, 7)
