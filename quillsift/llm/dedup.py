@@ -1,4 +1,4 @@
-"""Operator 6, SimHash near-dedup by pigeonhole blocks."""
+"""Operator 6, SimHash near-dedup: every pair within the radius is a link."""
 
 from __future__ import annotations
 
@@ -7,25 +7,25 @@ from pyspark.sql import functions as F
 
 from quillsift.llm.common import free, join_hot, maybe_broadcast, text_key, without_rows, written
 from quillsift.llm.components import components
-from quillsift.llm.simhash import Balls, Tables, fingerprints, near_edges
+from quillsift.llm.simhash import Balls, fingerprints, near_edges
 
-RADIUS, BLOCKS, MATCH = 20, 16, 2
+RADIUS = 20
 
 
-def _roots(rows: DataFrame, tables: Tables | Balls) -> DataFrame:
+def _roots(rows: DataFrame, radius: int) -> DataFrame:
     """(fp, root, n, least) for each fingerprint of rows (doc_id, fp): its group, and rows and least doc_id with it."""
     fps = written(rows.where("fp is not null").groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")), "distinct-fingerprints")
-    root = components(near_edges(fps, tables), "near-copies")
+    root = components(near_edges(fps, Balls(16, radius)), "near-copies")
     return fps.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "n", "least")
 
 
-def near_groups(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, match: int = MATCH, text_col: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, radius: int = RADIUS, text_col: str = "text") -> DataFrame:
     """(doc_id, key, root): the group of each distinct (doc_id, text_key of its text); root is null where there is no
     word."""
     key, = free(docs, "key")
     rows = fingerprints(docs.select("doc_id", text_col, text_key(F.col(text_col)).alias(key)), ["doc_id", key], text_col)
     rows = written(rows.select("doc_id", F.col(key).alias("key"), "fp").distinct(), "doc-fingerprints")
-    root = written(_roots(rows, Tables(16, blocks, match, radius)).select("fp", "root", "n"), "near-copy-groups")
+    root = written(_roots(rows, radius).select("fp", "root", "n"), "near-copy-groups")
     return join_hot(rows, root, "fp", "n").select("doc_id", "key", "root")
 
 
@@ -38,21 +38,21 @@ def simhash_groups(docs: DataFrame, radius: int = RADIUS, text_col: str = "text"
     or 19 bits at the radius of 20, of which such a pair differs in at most 2 bits of one.
     """
     rows = written(fingerprints(docs.select("doc_id", text_col), ["doc_id"], text_col), "doc-fingerprints")
-    of = written(_roots(rows, Balls(16, radius)), "near-copy-groups")
+    of = written(_roots(rows, radius), "near-copy-groups")
     groups = of.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("n").alias("rows"), F.count("*").alias("fps"))
     classes = written(join_hot(of.select("fp", "root", "n"), written(groups, "near-copy-classes"), "root", "fps").select("fp", "class_id", "rows", "n"), "fingerprint-classes")
     out = join_hot(rows, classes, "fp", "n")
     return out.select("doc_id", F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce(F.col("rows") - 1, F.lit(0)).alias("n_links"))
 
 
-def simhash_dedup(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, match: int = MATCH, text_col: str = "text") -> DataFrame:
-    """docs with one row of each group: the row with the least (doc_id, text key), nulls last. All columns are kept.
-    Rows that repeat a doc_id and its text count as copies of each other, wordless texts too; of rows that also
+def simhash_dedup(docs: DataFrame, radius: int = RADIUS, text_col: str = "text") -> DataFrame:
+    """docs with one row of each group of simhash_groups: the row with the least (doc_id, text key), nulls last. All
+    columns are kept. Rows that repeat a doc_id and its text count as copies of each other, wordless texts too; of rows that also
     differ in other columns, the one least in those (as JSON) stays."""
     key, = free(docs, "key")
     rows = fingerprints(docs.select("doc_id", text_col, text_key(F.col(text_col)).alias(key)), ["doc_id", key], text_col)
     rows = written(rows.groupBy("doc_id", F.col(key).alias("key"), "fp").agg(F.count("*").alias("times")), "doc-fingerprints")
-    of = written(_roots(rows, Tables(16, blocks, match, radius)), "near-copy-groups")
+    of = written(_roots(rows, radius), "near-copy-groups")
     # the first row of each fingerprint, then of each group of fingerprints: both are summed up before they are moved
     place = F.struct(F.col("doc_id").isNull().alias("a"), "doc_id", "key")
     first = rows.where("fp is not null").groupBy("fp").agg(F.min(place).alias("k"))

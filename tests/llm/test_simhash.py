@@ -124,7 +124,7 @@ def far_pairs():
     while len(rows) < 16:
         a = [f"{rng.randrange(10**6)}w" for _ in range(60)]
         b = mutate(rng, a, 0.1)
-        u, v = plain(" ".join(a)), plain(" ".join(b))
+        u, v = fingerprint(" ".join(a)), fingerprint(" ".join(b))
         if distance(u, v) <= 20 and sum(x == y for x, y in zip(u, v)) < 2:
             rows += [(len(rows), " ".join(a), "s"), (len(rows) + 1, " ".join(b), "s")]
     return rows
@@ -135,6 +135,10 @@ def test_groups_link_pairs_of_few_equal_blocks(spark):
     assert got == {i: (i // 2 * 2, 1) for i in range(16)}
 
 
+def test_copies_of_few_equal_blocks_go(spark):
+    assert sorted(r.doc_id for r in simhash_dedup(docs_frame(spark, far_pairs())).collect()) == list(range(0, 16, 2))
+
+
 @pytest.mark.parametrize("most", [4096, 20])
 def test_edges_join_what_pairs_join(spark, most):
     fps = near_set(400, 128, 3, 7)
