@@ -52,8 +52,9 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _cases(spark: SparkSession, d: str) -> DataFrame:
+    """A document without a line has a null question, and no chunk that it could find."""
     docs = _docs(spark, d)
-    return docs.select(F.col("doc_id").alias("query_id"), "doc_id", F.element_at(T.line_chunks(F.col("text")), 1).alias("query_text"))
+    return docs.select(F.col("doc_id").alias("query_id"), "doc_id", F.get(T.line_chunks(F.col("text")), F.lit(0)).alias("query_text"))
 
 
 def _embed(c: str) -> Column:
