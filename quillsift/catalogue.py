@@ -136,7 +136,9 @@ select query_id, vec_id, round(score, 6) as score, rank from (select *, row_numb
 def knn_cosine(spark: SparkSession, d: str) -> DataFrame:
     e = _t(spark, d, "embeddings")
     q = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
-    return dense.top_k(q, e.select("vec_id", F.col("embedding").alias("vec")), 6, "cosine", "vec_id").select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+    # all pairs of few bytes: dealt out, so that every core has a share
+    items = e.select("vec_id", F.col("embedding").alias("vec")).repartition(spark.sparkContext.defaultParallelism, "vec_id")
+    return dense.top_k(q, items, 6, "cosine", "vec_id").select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"with {DENSE} select query_id, doc_id, chunk_index, round(score, 6) as score, rank from dense where rank <= 5")

@@ -7,14 +7,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quillsift.functions.vector import l2_distance2
 from quillsift.sources.scratch import written
 
 #: Bytes of query vectors that go to every task at a time, and scores that a task holds at a time.
-QUERY_BYTES, SCORES = 32 << 20, 1 << 22
+QUERY_BYTES, SCORES = 32 << 20, 1 << 19
+#: Bytes of items that a task holds at a time, and queries that it scores with them at a time.
+ITEM_BYTES, QUERIES = 16 << 20, 128
 
 
 def _ranked(scored: DataFrame, keys: list[str], item: str, k: int | Column) -> DataFrame:
@@ -22,39 +27,95 @@ def _ranked(scored: DataFrame, keys: list[str], item: str, k: int | Column) -> D
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _usable(v: object) -> bool:
-    return v is not None and len(v) > 0 and not any(x is None or x != x for x in v)
+def _usable(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Places and vectors of a list<double> column, by length: those that are not null or empty and have no null or NaN part."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    n = np.nan_to_num(pc.list_value_length(column).to_numpy(zero_copy_only=False)).astype(np.int64)
+    flat = column.flatten().to_numpy(zero_copy_only=False)  # null parts come as NaN
+    start = np.cumsum(n) - n
+    out = []
+    for m in sorted(set(n[n > 0].tolist())):
+        at = np.flatnonzero(n == m)
+        v = flat[start[at][:, None] + np.arange(m)] if len(at) < len(n) else flat.reshape(-1, m)
+        good = ~np.isnan(v).any(axis=1)
+        if good.any():
+            out.append((at[good], np.ascontiguousarray(v[good], np.float64)))
+    return out
 
 
 def _scores(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
+    """Not rounded. For cosine q and v have length 1, or 0."""
     if metric == "l2":
-        s = -((q**2).sum(1)[:, None] - 2 * (q @ v.T) + (v**2).sum(1)[None, :])
-    elif metric == "dot":
-        n = min(q.shape[1], v.shape[1])
-        s = q[:, :n] @ v[:, :n].T
-    else:
-        length = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :]
-        s = np.divide(q @ v.T, length, out=np.zeros_like(length), where=length > 0)
-    return np.round(s, 9) + 0.0
+        return -((q**2).sum(1)[:, None] - 2 * (q @ v.T) + (v**2).sum(1)[None, :])
+    n = min(q.shape[1], v.shape[1])
+    return q[:, :n] @ v[:, :n].T
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches, put together up to ITEM_BYTES."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.nbytes for x in held) >= ITEM_BYTES:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(v, axis=1, keepdims=True)
+    return v / np.where(n == 0, 1, n)
+
+
+def _least(q: np.ndarray, s: np.ndarray, item: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best of each q, in the order of q, then score descending, then item."""
+    order = np.lexsort((item, -s, q))
+    q = q[order]
+    start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+    return order[np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)])) < k]
 
 
 class _Best:
-    """The k best items of each of n queries so far."""
+    """The k best items of each of n queries so far: score (-inf where there are fewer) and item, best first."""
 
     def __init__(self, n: int, k: int) -> None:
-        self.k, self.floor = k, np.full(n, -np.inf)
-        self.q, self.s, self.item = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object)
-
-    def add(self, q: np.ndarray, s: np.ndarray, item: np.ndarray) -> None:
-        self.q, self.s, self.item = np.concatenate([self.q, q]), np.concatenate([self.s, s]), np.concatenate([self.item, item])
-        order = np.lexsort((pd.factorize(self.item, sort=True)[0], -self.s, self.q))
-        q = self.q[order]
+        self.k, self.s, self.item = k, np.full((n, k), -np.inf), np.full((n, k), None, object)
+
+    def add(self, mine: np.ndarray, score: Callable[[int, int], np.ndarray], items: np.ndarray, margin: float = 2e-9, exact: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> None:
+        """score(x, y): scores of the queries mine with items[x:y], which ascend. Only what can be among a query's k best is
+        kept, rounded and sorted. margin: a rounding step, and where score is in single precision, which exact(i, j) is not,
+        twice its error."""
+        k, step = self.k, max(1, SCORES // len(mine))
+        floor, found = self.s[mine, -1] - margin, []
+        for x in range(0, len(items), step):
+            s = score(x, min(x + step, len(items)))
+            rows = np.flatnonzero(np.isneginf(floor))
+            if len(rows) and k < (n := min(2048, s.shape[1])):
+                floor[rows] = np.partition(np.where(np.isnan(s[rows, :n]), -np.inf, s[rows, :n]), n - k, axis=1)[:, n - k] - margin
+            # one dimension and one type: several times as fast
+            at = np.flatnonzero(s >= floor[:, None].astype(s.dtype))
+            i, j = np.divmod(at, s.shape[1])
+            found.append((i, j + x, s.ravel()[at]))
+        i, j, new = (np.concatenate(x) for x in zip(*found))
+        if not len(i):
+            return
+        new = np.round(new if exact is None else exact(i, j), 9) + 0.0
+        kept = _least(i, new, j, k)
+        i, j, new = i[kept], j[kept], new[kept]
+        rows = np.unique(i)
+        at = mine[rows]
+        old = np.repeat(np.arange(len(rows)), k)
+        both_q = np.r_[old, np.searchsorted(rows, i)]
+        both_s = np.r_[self.s[at].ravel(), new]
+        both_item = np.concatenate([self.item[at].ravel(), items[j]])
+        there = both_s > -np.inf
+        both_q, both_s, both_item = both_q[there], both_s[there], both_item[there]
+        order = _least(both_q, both_s, pd.factorize(both_item, sort=True)[0], k)
+        q = both_q[order]
         start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
         place = np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)]))
-        kept = order[place < self.k]
-        full = q[place == self.k - 1]
-        self.floor[full] = self.s[order[place == self.k - 1]]
-        self.q, self.s, self.item = self.q[kept], self.s[kept], self.item[kept]
+        self.s[at[q], place], self.item[at[q], place] = both_s[order], both_item[order]
 
 
 def top_k(queries: DataFrame, items: DataFrame, k: int, metric: str = "dot", item: str = "doc_id") -> DataFrame:
@@ -62,57 +123,61 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, metric: str = "dot", ite
 
     Scores (dot, cosine, or l2: the negative squared distance) are rounded to 9 digits and ties go to the lesser item.
     The queries are taken in blocks of QUERY_BYTES, one pass over the items for each: a task scores its batches against
-    the block by matrix products, SCORES at a time, and passes on no more than k rows a query, so that the final ranking
-    shuffles tasks * queries * k rows and not all pairs. An empty side gives no rows; nor do null and empty vectors and
+    the block by matrix products, ITEM_BYTES of items and SCORES at a time, and passes on no more than k rows a query, so that the final ranking
+    shuffles tasks * queries * k rows and not all pairs. Where there are several blocks, items are written first, evenly,
+    and the result of a block is ranked before it is kept. An empty side gives no rows; nor do null and empty vectors and
     those with a null or NaN part. A zero vector has cosine 0 with all. Vectors of different lengths are compared by
     dot alone, over the shorter length.
     """
     kind, qkind = items.schema[item].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
     q = queries.select("query_id", F.col("query_vec").cast("array<double>").alias("v")).where(F.size("v") > 0)
+    item_vecs = items.select(item, F.col("vec").cast("array<double>").alias("vec")).where(F.size("vec") > 0)
     size = q.agg(F.sum(F.size("v"))).first()[0] or 0
     blocks = max(1, -(-size * 8 // QUERY_BYTES))
     if blocks > 1:
         q = written(q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))), "queries")
-    item_vecs = items.select(item, F.col("vec").cast("array<double>").alias("vec")).where(F.size("vec") > 0)
+        item_vecs = written(item_vecs.repartition(item), "items")
 
-    def scored(rows: list) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-        rows = [r for r in rows if _usable(r[1])]
-        qid = np.array([r[0] for r in rows], object)
-        groups = {n: np.array([i for i, r in enumerate(rows) if len(r[1]) == n]) for n in {len(r[1]) for r in rows}}
-        vecs = {n: np.array([rows[i][1] for i in at], np.float64) for n, at in groups.items()}
+    def scored(rows: pa.Table) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        rows = rows.combine_chunks()
+        qid = rows.column("query_id")
+        single = metric == "cosine"
+        prepared = _unit if single else lambda v: v
+        groups = [(at, u, u.astype(np.float32) if single else u) for at, v in _usable(rows.column("v")) for u in [prepared(v)]] if len(rows) else []
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best = _Best(len(qid), k)
-            for b in batches:
-                if not len(qid):
-                    continue
-                good = [i for i, v in enumerate(b["vec"]) if _usable(v)]
-                sizes = np.array([len(b["vec"].iloc[i]) for i in good])
-                for m in set(sizes.tolist()):
-                    at = np.array(good)[sizes == m]
-                    v, ids = np.array(b["vec"].iloc[at].tolist(), np.float64), b[item].to_numpy(object)[at]
-                    for n, mine in groups.items():
-                        if n != m and metric != "dot":
+            for b in _gathered(batches) if groups else []:
+                ids = np.array(b.column(item).to_pylist(), object)
+                for places, v in _usable(b.column("vec")):
+                    order = np.argsort(pd.factorize(ids[places], sort=True)[0], kind="stable")
+                    mine, v = ids[places][order], prepared(v[order])
+                    fast = v.astype(np.float32) if single else v
+                    for at, qv, q_fast in groups:
+                        if qv.shape[1] != v.shape[1] and metric != "dot":
                             continue
-                        step = max(1, SCORES // len(v))
-                        for x in range(0, len(mine), step):
-                            part = mine[x : x + step]
-                            s = _scores(vecs[n][x : x + step], v, metric)
-                            i, j = np.nonzero(s >= best.floor[part][:, None])
-                            if len(i):
-                                best.add(part[i], s[i, j], ids[j])
-            if len(best.q):
-                yield pd.DataFrame({"query_id": qid[best.q], item: best.item, "score": best.s})
-
+                        for y in range(0, len(at), QUERIES):
+                            q, qf = qv[y : y + QUERIES], q_fast[y : y + QUERIES]
+                            more = {"margin": 4e-9 + 2.4e-7 * v.shape[1], "exact": lambda i, j, q=q, v=v: np.einsum("ij,ij->i", q[i], v[j])} if single else {}
+                            best.add(at[y : y + QUERIES], lambda x, z, qf=qf, fast=fast: _scores(qf, fast[x:z], metric), mine, **more)
+            there = best.s > -np.inf
+            found = np.flatnonzero(there.any(axis=1))
+            for x in range(0, len(found), 10_000):
+                rows = found[x : x + 10_000]
+                i, j = np.nonzero(there[rows])
+                i = rows[i]
+                yield pa.RecordBatch.from_arrays([qid.take(pa.array(i)).combine_chunks(), pa.array(best.item[i, j].tolist(), b_type), pa.array(best.s[i, j])], ["query_id", item, "score"])
+
+        b_type = to_arrow_type(items.schema[item].dataType)
         return run
 
     parts = []
     for block in range(blocks):
-        rows = (q if blocks == 1 else q.where(F.col("block") == block)).select("query_id", "v").collect()
-        part = item_vecs.mapInPandas(scored(rows), f"query_id {qkind}, `{item}` {kind}, score double")
+        rows = (q if blocks == 1 else q.where(F.col("block") == block)).select("query_id", "v").toArrow()
+        part = _ranked(item_vecs.mapInArrow(scored(rows), f"query_id {qkind}, `{item}` {kind}, score double"), ["query_id"], item, k)
         # the driver holds the queries of one block at a time
         parts.append(part if blocks == 1 else written(part, "best-of-block"))
-    return _ranked(functools.reduce(DataFrame.union, parts), ["query_id"], item, k)
+    return functools.reduce(DataFrame.union, parts)
 
 
 def route(queries: DataFrame, catalog: DataFrame, top_c: int = 5) -> DataFrame:
