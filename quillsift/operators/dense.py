@@ -130,9 +130,10 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, metric: str = "dot", ite
     dot alone, over the shorter length.
     """
     kind, qkind = items.schema[item].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
-    q = queries.select("query_id", F.col("query_vec").cast("array<double>").alias("v")).where(F.size("v") > 0)
-    item_vecs = items.select(item, F.col("vec").cast("array<double>").alias("vec")).where(F.size("vec") > 0)
-    size = q.agg(F.sum(F.size("v"))).first()[0] or 0
+    q = queries.select("query_id", F.col("query_vec").cast("array<double>").alias("v"))
+    # no filter on vectors here: it would be pushed below the model that makes them, which then runs twice
+    item_vecs = items.select(item, F.col("vec").cast("array<double>").alias("vec"))
+    size = q.agg(F.sum(F.greatest(F.size("v"), F.lit(0)))).first()[0] or 0
     blocks = max(1, -(-size * 8 // QUERY_BYTES))
     if blocks > 1:
         q = written(q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))), "queries")
