@@ -239,27 +239,21 @@ def chunk_lossless(spark: SparkSession, d: str) -> DataFrame:
     return g.select("doc_id", F.md5("glued").alias("body_md5"), (F.element_at("c.chunk_index", -1) + 1 == F.size("c")).alias("dense"))
 
 
-def _covered(text: Column, parts: Column, overlap: int = 30) -> Column:
-    """What ordered parts cover of a text, each place once. A part is looked for behind the start of the one before, and no
-    more than overlap characters before its end: parts that overlap more, or leave something out, do not give the text."""
-    start = F.struct(F.lit(0).alias("begin"), F.lit(0).alias("end"), F.lit("").alias("body"))
-
-    def step(acc: Column, x: Column) -> Column:
-        at = F.position(x, text, F.greatest(acc["begin"], acc["end"] - overlap) + 1)
-        new = F.greatest(at, acc["end"] + 1)
-        last = at + F.length(x) - 1
-        return F.struct(at.alias("begin"), F.greatest(last, acc["end"]).alias("end"), F.concat(acc["body"], F.substring(text, new, F.greatest(last - new + 1, F.lit(0)))).alias("body"))
-
-    return F.aggregate(parts, start, step)["body"]
+def _covered(parts: Column, text: str) -> Column:
+    """What ordered parts (start, text) cover of their text, each place once. Where each begins is known from the splitter:
+    looked for in the text, one that repeats itself would be found too early."""
+    ends = F.transform(parts, lambda x: x["start"] + F.length(x[text]))
+    # the last end has no part: its null is not joined
+    new = F.zip_with(parts, F.concat(F.array(F.lit(0)), ends), lambda x, end: F.substring(x[text], F.greatest(end - x["start"], F.lit(0)) + 1, F.length(x[text])))
+    return F.array_join(new, "")
 
 
 @query(r"select doc_id, md5(regexp_replace(text, '\s+', '', 'g')) as body_md5, true as bounded, true as dense from documents where regexp_matches(text, '\S')")
 def chunk_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Overlapping chunks, put together again by where they stand in the text."""
-    docs = _docs(spark, d)
-    c = split.chunks(docs.withColumn("body", F.col("text")), "body", 100, 30, number_first=True)
-    g = c.groupBy("doc_id").agg(F.max("text").alias("text"), F.sort_array(F.collect_list(F.struct("chunk_index", "chunk_text"))).alias("c"))
-    body = _covered(F.col("text"), F.col("c.chunk_text"))
+    c = split.chunks(_docs(spark, d), "text", 100, 30, number_first=True, start="start")
+    g = c.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("chunk_index", "start", "chunk_text"))).alias("c"))
+    body = _covered(F.col("c"), "chunk_text")
     bounded = F.forall("c.chunk_text", lambda x: (F.length(x) <= 101) | ~F.trim(x).contains(" "))
     return g.select("doc_id", F.md5(F.regexp_replace(body, r"\s+", "")).alias("body_md5"), bounded.alias("bounded"), (F.element_at("c.chunk_index", -1) + 1 == F.size("c")).alias("dense"))
 
@@ -274,12 +268,11 @@ def section_chunks(spark: SparkSession, d: str) -> DataFrame:
 @query(r"select doc_id, md5(regexp_replace(text, '\s+', '', 'g')) as body_md5, true as children_make_parents from documents where regexp_matches(text, '\S')")
 def parent_child_chunks(spark: SparkSession, d: str) -> DataFrame:
     """The texts of the parents, put together again by where they stand, and those of the children within them."""
-    docs = _docs(spark, d)
-    f = split.parents_children(docs, 150, 100)
-    g = _glued(f, ["doc_id", "parent_index", "parent_text"], ["child_index"], "child_text")
-    p = g.groupBy("doc_id").agg(F.every(F.col("glued") == F.regexp_replace("parent_text", r"\s+", "")).alias("children_make_parents"), F.sort_array(F.collect_list(F.struct("parent_index", "parent_text"))).alias("c"))
-    body = _covered(F.col("text"), F.col("c.parent_text"))
-    return p.join(docs, "doc_id").select("doc_id", F.md5(F.regexp_replace(body, r"\s+", "")).alias("body_md5"), "children_make_parents")
+    f = split.parents_children(_docs(spark, d), 150, 100, start="start")
+    g = _glued(f, ["doc_id", "parent_index", "start", "parent_text"], ["child_index"], "child_text")
+    p = g.groupBy("doc_id").agg(F.every(F.col("glued") == F.regexp_replace("parent_text", r"\s+", "")).alias("children_make_parents"), F.sort_array(F.collect_list(F.struct("parent_index", "start", "parent_text"))).alias("c"))
+    body = _covered(F.col("c"), "parent_text")
+    return p.select("doc_id", F.md5(F.regexp_replace(body, r"\s+", "")).alias("body_md5"), "children_make_parents")
 
 
 @query(r"select conv_id, turn, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S')))::integer as n from conversations")

@@ -31,3 +31,20 @@ def odd_dir(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", WITH_CASES)
 def test_documents_without_a_line(spark, odd_dir, name):
     assert_same(spark, QUERIES[name], ORACLES[name], odd_dir)
+
+
+@pytest.fixture(scope="module")
+def repeating_dir(tmp_path_factory):
+    """Texts that repeat themselves, so that a chunk is found before its place; long ones, without a line break and with."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    d = tmp_path_factory.mktemp("repeating")
+    texts = ["spam ham " * 200, "a" * 90 + " " + "a" * 20 + " a" * 300, "\n".join(["the same line of words again"] * 40), ("x y " * 30 + "\n") * 20 + "end", "one", "é𝄞 " * 150]
+    pq.write_table(pa.table({"doc_id": list(range(len(texts))), "text": texts}), f"{d}/documents.parquet")
+    return str(d)
+
+
+@pytest.mark.parametrize("name", ["chunk_overlap", "parent_child_chunks", "chunk_lossless", "section_chunks"])
+def test_chunks_of_texts_that_repeat_themselves(spark, repeating_dir, name):
+    assert_same(spark, QUERIES[name], ORACLES[name], repeating_dir)
