@@ -41,6 +41,7 @@ def repeating_dir(tmp_path_factory):
 
     d = tmp_path_factory.mktemp("repeating")
     texts = ["spam ham " * 200, "a" * 90 + " " + "a" * 20 + " a" * 300, "\n".join(["the same line of words again"] * 40), ("x y " * 30 + "\n") * 20 + "end", "one", "é𝄞 " * 150]
+    texts += ["b" * 40 + " " + "a" * 40 + " a b\n" + "a" * 12 + " a ", f"a\n{'a' * 12} a a a\n{'a' * 12} {'a' * 40} {'a' * 12}\na a a {'a' * 12} {'a' * 40}\na\na "]
     pq.write_table(pa.table({"doc_id": list(range(len(texts))), "text": texts}), f"{d}/documents.parquet")
     return str(d)
 
