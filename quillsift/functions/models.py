@@ -8,6 +8,7 @@ that no weights travel with the plan.
 
 from __future__ import annotations
 
+import array
 import hashlib
 import re
 from collections.abc import Callable, Iterator, Sequence
@@ -15,6 +16,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,24 +35,43 @@ class Generator(Protocol):
         ...
 
 
+class _Places(dict):
+    """Words and their places, worked out when they are met."""
+
+    def __init__(self, dim: int) -> None:
+        self.dim = dim
+
+    def __missing__(self, word: str) -> int:
+        p = self[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % self.dim
+        return p
+
+
 class HashingEmbedder:
     """Counts of lower-case ASCII words, each at the place that its MD5 names, scaled to length 1. Texts without a
-    word get the zero vector."""
+    word get the zero vector. No more than WORDS places are remembered, and the words of a text."""
+
+    WORDS = 100_000
 
     def __init__(self, dim: int = 64) -> None:
-        self.dim = dim
-        self._place: dict[str, int] = {}
+        self.dim, self._places = dim, _Places(dim)
+
+    def __getstate__(self) -> dict:
+        return {"dim": self.dim}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__init__(state["dim"])
 
     def embed(self, texts: Sequence[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim))
-        for i, text in enumerate(texts):
-            if len(self._place) > 300_000:
-                self._place.clear()
-            for w in re.findall(r"[a-z0-9]+", (text or "").lower()):
-                p = self._place.get(w)
-                if p is None:
-                    p = self._place[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % self.dim
-                out[i, p] += 1
+        places = self._places
+        found, counts = array.array("q"), []
+        for text in texts:
+            if len(places) > self.WORDS:
+                places.clear()
+            before = len(found)
+            found.extend(map(places.__getitem__, re.findall(r"[a-z0-9]+", (text or "").lower())))
+            counts.append(len(found) - before)
+        at = np.repeat(np.arange(len(texts)) * self.dim, counts) + np.frombuffer(found, np.int64)
+        out = np.bincount(at, minlength=len(texts) * self.dim).reshape(len(texts), self.dim).astype(np.float64)
         n = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(n == 0, 1, n)
 
@@ -74,7 +95,8 @@ class LeadGenerator:
         self.sentences = sentences
 
     def complete(self, system: Sequence[str], user: Sequence[str]) -> list[tuple[str | None, int | None, int | None]]:
-        return [(" ".join(re.split(r"(?<=[.!?])\s+", (u or "").strip())[: self.sentences]), None, None) for u in user]
+        n = self.sentences
+        return [(" ".join(re.split(r"(?<=[.!?])\s+", (u or "").strip(), maxsplit=n)[:n]), None, None) for u in user]
 
 
 class ContextGenerator:
@@ -97,15 +119,17 @@ def _loaded(model: object) -> object:
 
 
 def embed_column(text: Column, embedder: Embedder | Callable[[], Embedder], batch: int = 8) -> Column:
-    """array<double> of a text; the model sees batches of the given size."""
+    """array<double> of a text; the model sees batches of the given size, and of an Arrow batch no more than one is held as
+    Python texts."""
 
-    @F.pandas_udf("array<double>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = _loaded(embedder)
         for texts in batches:
-            values = texts.fillna("").tolist()
-            parts = [model.embed(values[i : i + batch]) for i in range(0, len(values), batch)]
-            yield pd.Series([list(map(float, v)) for p in parts for v in p], dtype=object)
+            parts = [np.asarray(model.embed(["" if t is None else t for t in texts.slice(i, batch).to_pylist()]), np.float64) for i in range(0, len(texts), batch)]
+            sizes = [p.shape[1] for p in parts for _ in range(len(p))]
+            flat = np.concatenate([p.ravel() for p in parts]) if parts else np.zeros(0)
+            yield pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(flat, pa.float64()))
 
     return run(text)
 
@@ -124,17 +148,21 @@ def pair_score_column(query: Column, passage: Column, reranker: Reranker | Calla
 
 def complete_column(system: Column, user: Column, generator: Generator | Callable[[], Generator], batch: int = 8) -> Column:
     """struct<text, input_tokens, output_tokens> of a prompt. Where the model counts no tokens they are estimated; an
-    answer without text is an error."""
+    answer without text is an error. Of an Arrow batch no more than batch prompts are held as Python texts."""
 
-    @F.pandas_udf("text string, input_tokens long, output_tokens long")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("text string, input_tokens long, output_tokens long")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         model = _loaded(generator)
         for s, u in batches:
-            ss, us = s.fillna("").tolist(), u.fillna("").tolist()
-            rows = [r for i in range(0, len(us), batch) for r in model.complete(ss[i : i + batch], us[i : i + batch])]
-            if any(r[0] is None for r in rows):
-                raise ValueError("the model gave no answer")
-            counted = [(t.strip(), -(-len(a + "\n" + b) // 4) if n is None else n, -(-len(t) // 4) if m is None else m) for (t, n, m), a, b in zip(rows, ss, us)]
-            yield pd.DataFrame(counted, columns=["text", "input_tokens", "output_tokens"])
+            texts, asked, said = [], [], []
+            for i in range(0, len(u), batch):
+                ss, us = (["" if t is None else t for t in x.slice(i, batch).to_pylist()] for x in (s, u))
+                for (t, n, m), a, b in zip(model.complete(ss, us), ss, us, strict=True):
+                    if t is None:
+                        raise ValueError("the model gave no answer")
+                    texts.append(t.strip())
+                    asked.append(-(-(len(a) + 1 + len(b)) // 4) if n is None else n)
+                    said.append(-(-len(t) // 4) if m is None else m)
+            yield pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(asked, pa.int64()), pa.array(said, pa.int64())], ["text", "input_tokens", "output_tokens"])
 
     return run(system, user)

@@ -1,0 +1,46 @@
+"""What a task holds of an Arrow batch in Python."""
+
+from __future__ import annotations
+
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
+
+from quillsift.functions.models import HashingEmbedder, LeadGenerator
+from quillsift.operators import dense
+
+
+def _peak(f) -> float:
+    tracemalloc.start()
+    try:
+        f()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_lead_of_a_long_text_is_not_made_of_all_its_sentences():
+    text = "A b. " * 400_000
+    assert LeadGenerator().complete([""], [text])[0][0] == "A b. A b. A b. A b. A b."
+    assert _peak(lambda: LeadGenerator().complete([""], [text])) < 10
+
+
+def test_embedder_remembers_a_bounded_number_of_words():
+    e = HashingEmbedder()
+    assert _peak(lambda: [e.embed([" ".join(f"w{i}x{k}" for k in range(1000))]) for i in range(400)]) < 25
+
+
+def test_scan_holds_no_list_of_all_scores():
+    rng = np.random.default_rng(0)
+    q, v = rng.normal(size=(128, 8)), rng.normal(size=(60_000, 8))
+    best = dense._Best(128, 3)
+    ids = np.arange(len(v)).astype(object)
+    assert _peak(lambda: best.add(np.arange(128), lambda x, y: dense._scores(q, v[x:y], "dot"), ids)) < 30
+    assert [list(r) for r in best.item] == [list(np.argsort(-np.round(s, 9), kind="stable")[:3]) for s in q @ v.T]
+
+
+def test_usable_vectors_by_length():
+    c = pa.array([[1.0, 2.0], None, [], [3.0], [None, 1.0], [float("nan"), 1.0], [4.0, 5.0]], pa.list_(pa.float64()))
+    assert [(a.tolist(), v.tolist()) for a, v in dense._usable(c)] == [([3], [[3.0]]), ([0, 6], [[1.0, 2.0], [4.0, 5.0]])]
+    assert [(a.tolist(), v.tolist()) for a, v in dense._usable(c.slice(2, 3))] == [([1], [[3.0]])]
