@@ -227,8 +227,8 @@ def line_chunk_index(spark: SparkSession, d: str) -> DataFrame:
     return _lines(spark, d)
 
 
-def _glued(chunks: DataFrame, keys: list[str], order: list[str], text: str) -> DataFrame:
-    g = chunks.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*order, text))).alias("c"))
+def _glued(chunks: DataFrame, keys: list[str], order: list[str], text: str, *more: Column) -> DataFrame:
+    g = chunks.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*order, text))).alias("c"), *more)
     return g.withColumn("glued", F.regexp_replace(F.array_join(F.col(f"c.{text}"), ""), r"\s+", ""))
 
 
@@ -444,11 +444,11 @@ def index_stored(spark: SparkSession, d: str) -> DataFrame:
     """What the index has stored of each document: its chunks, glued, and whether the stored postings add up to their
     words."""
     index = _index(spark, d)
-    g = _glued(index.chunks(), ["doc_id"], ["chunk_index"], "chunk_text")
-    words = index.chunks().groupBy("doc_id").agg(F.sum(F.size(T.ws_tokens(F.col("chunk_text")))).alias("words"))
+    n = F.sum(F.size(T.ws_tokens(F.col("chunk_text")))).alias("words")
+    g = _glued(index.chunks(), ["doc_id"], ["chunk_index"], "chunk_text", n)
     stored = index.postings().groupBy("doc_id").agg(F.sum("tf").alias("stored")).join(index.stats().select("doc_id", F.round(F.col("n_chunks") * F.col("avgdl")).cast("long").alias("counted")), "doc_id")
     same = F.when((F.col("words") == F.col("stored")) & (F.col("words") == F.col("counted")), 1).otherwise(0)
-    return g.join(words, "doc_id").join(stored, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("glued").alias("body_md5"), same.alias("same_postings"))
+    return g.join(stored, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("glued").alias("body_md5"), same.alias("same_postings"))
 
 
 # --- pipelines -------------------------------------------------------------------------------------------------------

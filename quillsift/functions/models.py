@@ -51,6 +51,8 @@ class HashingEmbedder:
     word get the zero vector. No more than WORDS places are remembered, and the words of a text."""
 
     WORDS = 100_000
+    #: Texts that it is best given at a time.
+    batch = 256
 
     def __init__(self, dim: int = 64) -> None:
         self.dim, self._places = dim, _Places(dim)
@@ -118,15 +120,16 @@ def _loaded(model: object) -> object:
     return model() if callable(model) else model
 
 
-def embed_column(text: Column, embedder: Embedder | Callable[[], Embedder], batch: int = 8) -> Column:
-    """array<double> of a text; the model sees batches of the given size, and of an Arrow batch no more than one is held as
+def embed_column(text: Column, embedder: Embedder | Callable[[], Embedder], batch: int | None = None) -> Column:
+    """array<double> of a text; the model sees batches of the given size, by default of its own (attribute batch) or 8, and of an Arrow batch no more than one is held as
     Python texts."""
 
     @F.arrow_udf("array<double>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = _loaded(embedder)
+        size = batch or getattr(model, "batch", 8)
         for texts in batches:
-            parts = [np.asarray(model.embed(["" if t is None else t for t in texts.slice(i, batch).to_pylist()]), np.float64) for i in range(0, len(texts), batch)]
+            parts = [np.asarray(model.embed(["" if t is None else t for t in texts.slice(i, size).to_pylist()]), np.float64) for i in range(0, len(texts), size)]
             sizes = [p.shape[1] for p in parts for _ in range(len(p))]
             flat = np.concatenate([p.ravel() for p in parts]) if parts else np.zeros(0)
             yield pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(flat, pa.float64()))

@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import re
+from array import array
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillsift.functions.text import ws_tokens
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Chunks whose postings a task holds at a time.
+POSTINGS_ROWS = 2_000
 
 
 def postings(chunks: DataFrame, scope: str = "doc_id", item: str = "chunk_index", text: str = "chunk_text") -> DataFrame:
@@ -17,6 +26,39 @@ def postings(chunks: DataFrame, scope: str = "doc_id", item: str = "chunk_index"
     return t.groupBy(scope, item, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
+def words_of(text: str) -> list[str]:
+    """ws_tokens() of a text. str.split() takes four separators for white space that Unicode does not."""
+    if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        return [w for w in re.split(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", text) if w]
+    return text.split()
+
+
+def row_postings(chunks: DataFrame) -> DataFrame:
+    """postings() of chunks (doc_id, chunk_index, chunk_text) of which each has a row of its own: counted row by row, in the
+    order of the rows, without a shuffle. A task holds the postings of POSTINGS_ROWS chunks."""
+    kind = chunks.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in range(0, b.num_rows, POSTINGS_ROWS):
+                part = b.slice(x, POSTINGS_ROWS)
+                at, term, tf, dl = array("i"), [], array("q"), array("i")
+                for row, text in enumerate(part.column("chunk_text").to_pylist()):
+                    words = words_of(text or "")
+                    counts = Counter(words)
+                    term.extend(counts)
+                    tf.extend(counts.values())
+                    at.extend([row] * len(counts))
+                    dl.extend([len(words)] * len(counts))
+                rows = pa.array(np.frombuffer(at, np.int32) if at else [], pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id").take(rows), part.column("chunk_index").take(rows), pa.array(term, pa.string()), pa.array(tf, pa.int64()), pa.array(dl, pa.int32())],
+                    ["doc_id", "chunk_index", "term", "tf", "dl"],
+                )
+
+    return chunks.select("doc_id", "chunk_index", "chunk_text").mapInArrow(run, f"doc_id {kind}, chunk_index int, term string, tf long, dl int")
+
+
 def tokenized(chunks: DataFrame, scope: str = "doc_id", item: str = "chunk_index", text: str = "chunk_text", spread: bool = True) -> DataFrame:
     """scope, item, text and ws, the words, by scope: all that BM25 asks of the chunks is grouped by scope, so this is the
     one shuffle that it takes, and every part of the plan that starts from it shares it. Without spread it is left

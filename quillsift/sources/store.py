@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillsift.functions.models import Embedder, HashingEmbedder, embed_column
-from quillsift.functions.text import summary_input, ws_tokens
-from quillsift.operators.lexical import postings, scope_stats
+from quillsift.functions.text import summary_input
+from quillsift.operators.lexical import row_postings, scope_stats
 from quillsift.operators.split import chunks as split_chunks
 from quillsift.sources.scratch import discard, written
 from quillsift.sources.texts import as_text
@@ -124,14 +124,14 @@ class Index:
         own = F.substring(F.md5("text"), 1, 12)
         doc_id = F.coalesce(F.col("doc_id").cast("string"), own) if "doc_id" in d.columns else own
         d = d.select(doc_id.alias("doc_id"), "text").where(F.col("text").rlike(r"\S")).groupBy("doc_id").agg(F.max("text").alias("text"))
-        d = written(d, "ingested")
+        # by id: what is made row by row from here keeps that order without a shuffle, rows of one document lie together,
+        # and routed reads skip row groups by their doc_id ranges
+        d = written(d.sortWithinPartitions("doc_id"), "ingested")
         version = uuid.uuid4().hex
         c = split_chunks(d, "text", chunk_size)
-        # rows of one document lie together, so that routed reads skip row groups by their doc_id ranges
-        c = c.withColumn("embedding", embed_column(F.col("chunk_text"), self.embedder)).repartition("doc_id").sortWithinPartitions("doc_id", "chunk_index")
-        c.write.parquet(f"{self.path}/chunks-{version}")
-        t = self.spark.read.schema(TABLES["chunks"]).parquet(f"{self.path}/chunks-{version}").select("doc_id", "chunk_index", "chunk_text", ws_tokens(F.col("chunk_text")).alias("ws")).repartition("doc_id")
-        postings(t).sortWithinPartitions("doc_id", "term").write.parquet(f"{self.path}/postings-{version}")
+        c.withColumn("embedding", embed_column(F.col("chunk_text"), self.embedder)).write.parquet(f"{self.path}/chunks-{version}")
+        t = self.spark.read.schema(TABLES["chunks"]).parquet(f"{self.path}/chunks-{version}")
+        row_postings(t).write.parquet(f"{self.path}/postings-{version}")
         scope_stats(t).write.parquet(f"{self.path}/stats-{version}")
         s = d.select("doc_id", (summary_input(F.col("text")) if summary is None else summary).alias("summary"))
         s.withColumn("values", embed_column(F.col("summary"), self.embedder)).write.parquet(f"{self.path}/catalog-{version}")

@@ -44,3 +44,29 @@ def test_usable_vectors_by_length():
     c = pa.array([[1.0, 2.0], None, [], [3.0], [None, 1.0], [float("nan"), 1.0], [4.0, 5.0]], pa.list_(pa.float64()))
     assert [(a.tolist(), v.tolist()) for a, v in dense._usable(c)] == [([3], [[3.0]]), ([0, 6], [[1.0, 2.0], [4.0, 5.0]])]
     assert [(a.tolist(), v.tolist()) for a, v in dense._usable(c.slice(2, 3))] == [([1], [[3.0]])]
+
+
+def test_index_moves_texts_once_and_no_vector(spark, tmp_path):
+    """Of the ingest's writes, which plans shuffle: the texts by id, and the few sums of the statistics."""
+    from quillsift.sources import store
+
+    moved = {}
+
+    def plan_of(self, path, *a, **k):
+        moved[path.rsplit("/", 1)[1].split("-")[0]] = self._df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+        return real(self, path, *a, **k)
+
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    real = DataFrameWriter.parquet
+    DataFrameWriter.parquet = plan_of
+    try:
+        index = store.Index(spark, f"{tmp_path}/ix")
+        index.add(spark.createDataFrame([(str(i), f"text of {i} text\x1cof　it " * 9) for i in range(30)], "doc_id string, text string"), 40)
+    finally:
+        DataFrameWriter.parquet = real
+    assert moved == {"ingested": 1, "chunks": 0, "postings": 0, "stats": 1, "catalog": 0}
+    from quillsift.operators import lexical
+
+    want = lexical.postings(index.chunks()).select("doc_id", "chunk_index", "term", "tf", "dl").collect()
+    assert sorted(index.postings().select("doc_id", "chunk_index", "term", "tf", "dl").collect()) == sorted(want) and any("\x1c" in r.term for r in want)
