@@ -286,10 +286,10 @@ def context_filter(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""with {LINES}, {CASES}, {_bm25("okapi")} select doc_id, any_value(n_chunks) as n_chunks, round(any_value(avgdl), 6) as avgdl, count(*) as terms, sum(df)::bigint as postings, round(sum(idf), 4) as idf_sum
 from dfs join weight using (doc_id, term) join stats s using (doc_id, n_chunks) group by doc_id""")
 def bm25_statistics(spark: SparkSession, d: str) -> DataFrame:
-    c = _lines(spark, d)
-    post, stats = lexical.postings(c), lexical.scope_stats(c)
-    w = lexical.idf(post, stats).groupBy("doc_id").agg(F.count("*").alias("terms"), F.sum("df").alias("postings"), F.round(F.sum("idf"), 4).alias("idf_sum"))
-    return w.join(stats, "doc_id").select("doc_id", "n_chunks", F.round("avgdl", 6).alias("avgdl"), "terms", "postings", "idf_sum")
+    s = lexical.term_statistics(_lines(spark, d))
+    total = F.aggregate("df", F.lit(0).cast("long"), lambda a, x: a + x).alias("postings")
+    weight = F.round(F.aggregate("idf", F.lit(0.0), lambda a, x: a + x), 4).alias("idf_sum")
+    return s.select("doc_id", "n_chunks", F.round("avgdl", 6).alias("avgdl"), F.size("terms").cast("long").alias("terms"), total, weight)
 
 
 def _bm25_query(kind: str) -> Query:

@@ -70,3 +70,22 @@ def test_index_moves_texts_once_and_no_vector(spark, tmp_path):
 
     want = lexical.postings(index.chunks()).select("doc_id", "chunk_index", "term", "tf", "dl").collect()
     assert sorted(index.postings().select("doc_id", "chunk_index", "term", "tf", "dl").collect()) == sorted(want) and any("\x1c" in r.term for r in want)
+
+
+def test_terms_are_counted_scope_by_scope(spark):
+    """No row for each word, which a task would hold in hash tables of all its documents; the same figures as by rows."""
+    from pyspark.sql import functions as F
+
+    from quillsift.operators import lexical
+
+    chunks = spark.createDataFrame([(i, k, f"the word {i % 3} of line {k} the\x1cend {k % 2}") for i in range(7) for k in range(1 + i)], "doc_id long, chunk_index int, chunk_text string")
+    queries = spark.createDataFrame([(1, 3, "the word 0"), (2, 3, None), (3, 5, "line 2 2")], "query_id long, doc_id long, query_text string")
+    for kind in ("okapi", "lucene"):
+        got = lexical.bm25(queries, chunks, 4, kind)
+        assert "explode" not in got._jdf.queryExecution().toString()
+        post, stats = lexical.postings(chunks), lexical.scope_stats(chunks)
+        want = lexical.bm25(queries, chunks, 4, kind, post=post, stats=stats)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        s = lexical.term_statistics(chunks, kind)
+        rows = s.select("doc_id", F.explode(F.arrays_zip("terms", "df", "idf")).alias("t")).select("doc_id", "t.terms", "t.df", F.round("t.idf", 9))
+        assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, lexical.idf(post, stats, kind).select("doc_id", "term", "df", F.round("idf", 9)).collect()))
